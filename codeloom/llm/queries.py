@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import current_files, table
-from . import residue
+from . import leaks, residue
 
 registry = Registry()
 q = registry.add
@@ -29,3 +29,25 @@ def p8_kept_by_source(spark, d):
     bad = residue.evidence(docs).select("doc_id", F.lit(1).alias("bad")).distinct()
     j = docs.select("doc_id", "source").join(bad, "doc_id", "left")
     return j.groupBy("source").agg(F.count("*").alias("docs"), F.count("bad").alias("excluded"))
+
+
+# 7: leaked test items
+def _leaks(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@q("p7_found")
+def p7_found(spark, d):
+    return _leaks(spark, d)
+
+
+@q("p7_items")
+def p7_items(spark, d):
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc_id"))
+
+
+@q("p7_suites")
+def p7_suites(spark, d):
+    items = table(spark, d, "eval_items").select("item_id", "suite").distinct()
+    hit = _leaks(spark, d).select("item_id").distinct().withColumn("hit", F.lit(1))
+    return items.join(hit, "item_id", "left").groupBy("suite").agg(F.count("*").alias("items"), F.count("hit").alias("leaked"))
