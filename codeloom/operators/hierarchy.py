@@ -12,18 +12,23 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 
-def _resolve(start: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame, int]:
-    """start: node, anc, dist, done, low[, seg]; a root has anc = node, dist 0, done. Gives the rows that reached a
-    root, the rows that never will, and the number of those."""
-    state = cut(start)
-    done_parts: list[DataFrame] = []
-    left = state.where(~F.col("done")).count()
+def _resolve(top: DataFrame, active: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame, int]:
+    """top: the roots, active: all other nodes, both node, anc, dist, done, low[, seg]; a root has anc = node, dist 0.
+    Gives the rows that reached a root, the rows that never will, and the number of those.
+
+    A round joins only the rows that still climb; each resolved row is written once and never again.
+    """
+    done, active = [cut(top)], cut(active)
+    left = active.count()
     while left:
-        a = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), F.col("low").alias("low2"), *([F.col("seg").alias("seg2")] if with_path else []))
-        moved = state.where(~F.col("done")).join(a, "anc").select(
+        cols = [F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), F.col("low").alias("low2"), *([F.col("seg").alias("seg2")] if with_path else [])]
+        a = active.select(*cols)
+        for part in done:
+            a = a.unionByName(part.select(*cols))
+        moved = active.join(a, "anc").select(
             "node",
             F.col("anc2").alias("anc"),
             (F.col("dist") + F.col("d2")).alias("dist"),
@@ -31,12 +36,18 @@ def _resolve(start: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame, i
             F.least("low", "low2").alias("low"),
             *([F.concat("seg2", "seg").alias("seg")] if with_path else []),
         )
-        state = cut(state.where("done").unionByName(moved))
-        now = state.where(~F.col("done")).count()
+        both = cut(moved)
+        release(active)
+        done.append(both.where("done"))
+        active = both.where(~F.col("done"))
+        now = active.count()
         if now == left:
             break
         left = now
-    return state.where("done"), state.where(~F.col("done")), left
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out, active, left
 
 
 def link_hierarchies(links: DataFrame, parent: str, child: str, with_path: bool = True) -> DataFrame:
@@ -58,7 +69,7 @@ def link_hierarchies(links: DataFrame, parent: str, child: str, with_path: bool
     seg = (lambda *c: [F.array(*c).alias("seg")]) if with_path else (lambda *c: [])
     up = edges.select("node", F.col("p").alias("anc"), F.lit(1).cast("int").alias("dist"), F.lit(False).alias("done"), F.least("node", "p").alias("low"), *seg(F.col("node")))
     top = roots.select("node", F.col("node").alias("anc"), F.lit(0).cast("int").alias("dist"), F.lit(True).alias("done"), F.col("node").alias("low"), *seg(F.col("node")))
-    trees, rest, left = _resolve(up.unionByName(top), with_path)
+    trees, rest, left = _resolve(top, up, with_path)
     path = [F.col("seg").alias("path")] if with_path else []
     out = trees.select("node", F.col("anc").alias("root"), F.col("dist").alias("depth"), F.lit(0).cast("int").alias("on_cycle"), *path)
     if not left:
@@ -70,13 +81,13 @@ def link_hierarchies(links: DataFrame, parent: str, child: str, with_path: bool
     for k in range(max(1, math.ceil(math.log2(left + 1)))):
         a = ring.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
         ring = ring.join(a, "anc").select("node", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"))
-        if k % 2:
+        if k % 3 == 2:
             ring = cut(ring)
     members = cut(ring.select(F.col("anc").alias("node")).distinct().join(ring.select("node", "low"), "node"))
     on = members.select("node", F.col("low").alias("root"), F.lit(0).cast("int").alias("depth"), F.lit(1).cast("int").alias("on_cycle"), *([F.array("node").cast(f"array<{kind}>").alias("path")] if with_path else []))
     tails = cyclic.join(members.select("node"), "node", "left_anti").select("node", F.col("p").alias("anc"), F.lit(1).cast("int").alias("dist"), F.lit(False).alias("done"), F.col("node").alias("low"), *seg(F.col("node")))
     tops = members.select("node", F.col("node").alias("anc"), F.lit(0).cast("int").alias("dist"), F.lit(True).alias("done"), F.col("node").alias("low"), *seg(F.col("node")))
-    below, _, _ = _resolve(tails.unionByName(tops), with_path)
+    below, _, _ = _resolve(tops, tails, with_path)
     below = below.where("dist > 0").join(members.select(F.col("node").alias("anc"), F.col("low").alias("ring_low")), "anc")
     below = below.select("node", F.col("ring_low").alias("root"), F.col("dist").alias("depth"), F.lit(0).cast("int").alias("on_cycle"), *path)
     return out.unionByName(on).unionByName(below)

@@ -4,6 +4,7 @@ before anything is broadcast."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint: the data are in the shared folder, so a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage and plan: df is written as a table to the shared folder and read again, so a lost executor costs
+    nothing and the plans of iterations do not add up in the driver. release() removes the table once it is superseded."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            jvm = df.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
