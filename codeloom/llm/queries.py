@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import current_files, table
-from . import leaks, residue
+from . import leaks, neighbours, residue
 
 registry = Registry()
 q = registry.add
@@ -51,3 +51,18 @@ def p7_suites(spark, d):
     items = table(spark, d, "eval_items").select("item_id", "suite").distinct()
     hit = _leaks(spark, d).select("item_id").distinct().withColumn("hit", F.lit(1))
     return items.join(hit, "item_id", "left").groupBy("suite").agg(F.count("*").alias("items"), F.count("hit").alias("leaked"))
+
+
+# 1: most similar vectors
+def _similar(spark, d):
+    return neighbours.similar(current_files(table(spark, d, "files"), "embedding"), dim=96)
+
+
+@q("p1_found")
+def p1_found(spark, d):
+    return _similar(spark, d).select(F.least("id", "neighbour").alias("file_a"), F.greatest("id", "neighbour").alias("file_b")).distinct()
+
+
+@q("p1_neighbours")
+def p1_neighbours(spark, d):
+    return _similar(spark, d)
