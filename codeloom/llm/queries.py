@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import current_files, table
-from . import leaks, neighbours, residue
+from . import leaks, neighbours, packing, residue
 
 registry = Registry()
 q = registry.add
@@ -66,3 +66,16 @@ def p1_found(spark, d):
 @q("p1_neighbours")
 def p1_neighbours(spark, d):
     return _similar(spark, d)
+
+
+# 6: packing
+@q("p6_containers")
+def p6_containers(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
+@q("p6_summary")
+def p6_summary(spark, d):
+    p = packing.pack(table(spark, d, "documents")).where("container is not null")
+    bins = p.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.max("unused").alias("unused"))
+    return bins.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"), F.ceil(F.sum("tokens") / packing.CAPACITY).alias("lower_bound"))
