@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import current_files, table
-from . import leaks, neighbours, packing, residue
+from . import leaks, neighbours, packing, provenance, residue
 
 registry = Registry()
 q = registry.add
@@ -79,3 +79,23 @@ def p6_summary(spark, d):
     p = packing.pack(table(spark, d, "documents")).where("container is not null")
     bins = p.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.max("unused").alias("unused"))
     return bins.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"), F.ceil(F.sum("tokens") / packing.CAPACITY).alias("lower_bound"))
+
+
+# 5: not hand-written
+def _classified(spark, d):
+    return provenance.classify(current_files(table(spark, d, "files"), "path", "relative_path"), table(spark, d, "code_inputs"))
+
+
+@q("p5_found")
+def p5_found(spark, d):
+    return _classified(spark, d).select("file_id").distinct()
+
+
+@q("p5_kinds")
+def p5_kinds(spark, d):
+    return _classified(spark, d).select("file_id", "language", F.array_join("kinds", ",").alias("kinds"))
+
+
+@q("p5_by_language")
+def p5_by_language(spark, d):
+    return _classified(spark, d).select("language", F.explode("kinds").alias("kind")).groupBy("language", "kind").agg(F.count("*").alias("files"))
