@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import current_files, table
-from . import leaks, neighbours, packing, provenance, residue
+from . import leaks, neighbours, packing, provenance, residue, syntax
 
 registry = Registry()
 q = registry.add
@@ -99,3 +99,23 @@ def p5_kinds(spark, d):
 @q("p5_by_language")
 def p5_by_language(spark, d):
     return _classified(spark, d).select("language", F.explode("kinds").alias("kind")).groupBy("language", "kind").agg(F.count("*").alias("files"))
+
+
+# 2: files that do not parse
+def _checked(spark, d):
+    return syntax.check(current_files(table(spark, d, "files"), "project_id", "path"), table(spark, d, "code_inputs"))
+
+
+@q("p2_found")
+def p2_found(spark, d):
+    return _checked(spark, d).where("broken").select("file_id").distinct()
+
+
+@q("p2_files")
+def p2_files(spark, d):
+    return _checked(spark, d)
+
+
+@q("p2_rates")
+def p2_rates(spark, d):
+    return syntax.rates(_checked(spark, d))
