@@ -4,7 +4,7 @@ import importlib
 
 from .registry import Registry, core
 
-MODULES = ("integrity",)
+MODULES = ("integrity", "reports", "graphs")
 
 
 def load() -> Registry:
