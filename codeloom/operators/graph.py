@@ -14,7 +14,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     The seed itself does not come out, even if a ring leads back to it. Null ends are no edges.
     """
-    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     seen = cut(seeds.where("seed is not null").select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier, parts = seen, [seen]
     for k in range(1, depth + 1):
@@ -61,7 +61,7 @@ def short_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
 
     Paths grow only through nodes greater than their start, so each cycle is found once, from its smallest node.
     """
-    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.array("src").alias("cycle"))
     up = e.where("src <> dst")
     paths = up.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("tip"), F.col("src").alias("start"))
