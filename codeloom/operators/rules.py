@@ -10,29 +10,53 @@ from ..functions.scalars import glob_regex, keyword_match
 
 # Rules of the line audit (name, severity, pattern).
 AUDIT = (
-    ("secret", "high", r"(?i)(api[_-]?key|secret|token|password)[A-Za-z0-9_]*[ \t]*[:=][ \t]*['\"][^'\"]{8,}['\"]"),
-    ("aws-key", "high", r"AKIA[0-9A-Z]{16}"),
-    ("private-key", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("eval", "high", r"(?:^|[^A-Za-z0-9_])eval[ \t]*\("),
-    ("function-constructor", "medium", r"new[ \t]+Function[ \t]*\("),
-    ("weak-crypto", "medium", r"createCipher[ \t]*\("),
-    ("weak-hash", "low", r"(?:md5|sha1)"),
+    ("secret", "high", r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*[\"'][^\"']+[\"']"),
+    ("aws-key", "critical", r"(?i)(aws[_-]?access[_-]?key|aws[_-]?secret[_-]?key)\s*[:=]\s*[\"'][^\"']+[\"']"),
+    ("private-key", "critical", r"-----BEGIN (RSA|EC|DSA) PRIVATE KEY-----"),
+    ("eval", "high", r"eval\s*\("),
+    ("function-constructor", "high", r"new Function\s*\("),
+    ("weak-crypto", "medium", r"crypto\.createCipher\(|crypto\.createDecipher\("),
+    ("weak-hash", "medium", r"md5|sha1"),
 )
-# Places where feature flags are read (framework, pattern with the name of the flag).
+# Where feature flags are read, line by line (framework, type, pattern with the name of the flag).
 FLAGS = (
-    ("env", r"process\.env\.(?:FEATURE|FLAG|ENABLE)_([A-Z0-9_]+)"),
-    ("generic", r"(?:isEnabled|isFeatureEnabled|hasFeature|useFlag|variation)\([ \t]*['\"]([A-Za-z0-9_.-]+)['\"]"),
-    ("config", r"features?\[['\"]([A-Za-z0-9_.-]+)['\"]\]"),
+    ("unleash", "function", r"isEnabled\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("unleash", "function", r"getVariant\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("launchdarkly", "function", r"variation\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("launchdarkly", "function", r"boolVariation\s*\(\s*['\"]([^'\"]+)['\"]"),
+    ("custom", "config", r"(?:flags|features|toggles)\.(\w+)"),
+    ("custom", "env", r"process\.env\.(\w+_ENABLED|\w+_FLAG)"),
+    ("custom", "config", r"featureFlags\.(\w+)"),
+    ("homegrown", "if", r"if\s*\(\s*['\"]([^'\"]+)['\"]\s*===?\s*['\"]true['\"]"),
+    ("homegrown", "ternary", r"\w+\s*\?\s*.*\s*:\s*.*\s*\?\s*['\"]([^'\"]+)['\"]"),
 )
-# Kinds of exported symbols (kind, pattern with the name).
+# Exported symbols (kind, pattern with the name).
 EXPORTS = (
-    ("function", r"(?m)^export (?:default )?(?:async )?function[ *]+([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("class", r"(?m)^export (?:default )?(?:abstract )?class ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("interface", r"(?m)^export interface ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("type", r"(?m)^export type ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("const", r"(?m)^export const ([A-Za-z_$][A-Za-z0-9_$]*)"),
-    ("enum", r"(?m)^export (?:const )?enum ([A-Za-z_$][A-Za-z0-9_$]*)"),
+    ("function", r"export\s+(?:async\s+)?function\s+(\w+)\s*\("),
+    ("class", r"export\s+(?:abstract\s+)?class\s+(\w+)"),
+    ("interface", r"export\s+interface\s+(\w+)"),
+    ("type", r"export\s+type\s+(\w+)\s*="),
+    ("const", r"export\s+const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::\s*[^=]+)?\s*=>"),
+    ("enum", r"export\s+enum\s+(\w+)"),
 )
+# What counts as a test (the patterns overlap and are added up) and as an assertion.
+TESTS = (r"(?:it|test)\s*\(\s*['\"`]", r"describe\s*\(\s*['\"`]", r"it\s*\(\s*['\"`]", r"it\(['\"`]")
+ASSERTIONS = (r"expect\s*\(", r"assert\s*\.", r"should\s*\.", r"\.toBe\s*\(", r"\.toEqual\s*\(", r"\.toContain\s*\(", r"\.toHaveLength\s*\(")
+# The default contracts.
+DEFAULT_CONTRACTS = (
+    {"id": "no-eval", "glob": "**/*.ts", "forbidden": [r"eval\s*\(", r"new\s+Function\s*\("], "severity": "error"},
+    {"id": "no-raw-process-exit-in-core", "glob": "src/core/**/*.ts", "forbidden": ["process.exit("], "severity": "error"},
+    {"id": "no-direct-db-in-mcp-tools", "glob": "src/mcp/tools/**/*.ts", "forbidden": ["CREATE TABLE", "DROP TABLE", "ALTER TABLE"], "severity": "warning"},
+    {"id": "no-inline-any-in-cli", "glob": "src/cli/commands/**/*.ts", "forbidden": [r"\bany\b"], "severity": "error"},
+    {"id": "no-hardcoded-paths-in-tools", "glob": "src/mcp/tools/**/*.ts", "forbidden": [r"\.\./\.\./src/storage"], "severity": "warning"},
+    {"id": "no-unused-imports-in-critical", "glob": "src/core/**/*.ts", "forbidden_imports": ["src/cli/"], "severity": "error"},
+)
+# Sources and sinks of taint (callee, kind).
+TAINT_SOURCES = (("fs.readFile", "FILE"), ("fs.readFileSync", "FILE"), ("fs.createReadStream", "FILE"), ("process.env", "ENV"), ("process.stdin", "STDIN"), ("fetch", "NETWORK"), ("http.request", "NETWORK"), ("https.request", "NETWORK"), ("net.connect", "SOCKET"))
+TAINT_SINKS = (
+    ("eval", "ENV"), ("Function", "ENV"), ("exec", "SOCKET"), ("execSync", "SOCKET"), ("execFile", "SOCKET"), ("spawn", "SOCKET"), ("child_process.exec", "SOCKET"), ("child_process.spawn", "SOCKET"),
+    ("query", "DATABASE"), ("execute", "DATABASE"), ("send", "NETWORK"), ("write", "FILE"), ("writeFile", "FILE"), ("writeFileSync", "FILE"), ("createWriteStream", "FILE"),
+)
 
 
 def lines(texts: DataFrame, keep: list[str], text: str = "content") -> DataFrame:
@@ -51,7 +75,7 @@ def audit(texts: DataFrame, rules=AUDIT, key: str = "path") -> DataFrame:
     are cut into lines."""
     anywhere = F.lit(False)
     for _, _, p in rules:
-        anywhere = anywhere | F.col("content").rlike(p.replace("(?:^|", "(?:(?m)^|"))
+        anywhere = anywhere | F.col("content").rlike(p)
     hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, s, p in rules]))
     return lines(texts.where(anywhere), [key]).select(key, "line_number", F.explode(hits).alias("h")).select(key, "line_number", "h.rule", "h.severity")
 
@@ -68,6 +92,9 @@ def contracts(texts: DataFrame, rules: list[dict], key: str = "path", compat: bo
         for k in r.get("forbidden", ()):
             found = lines(own.where(keyword_match(F.col("content"), k)), [key])
             parts.append(found.where(keyword_match(F.col("line"), k)).select(*head, F.lit("forbidden").alias("kind"), "line_number"))
+        for k in r.get("forbidden_imports", ()):
+            found = lines(own.where(F.contains("content", F.lit(k))), [key])
+            parts.append(found.where(F.contains("line", F.lit(k)) & F.col("line").rlike(r"import\b|require\s*\(|\bfrom\b")).select(*head, F.lit("forbidden_import").alias("kind"), "line_number"))
         for k in r.get("required", ()):
             parts.append(own.where(~F.contains("content", F.lit(k))).select(*head, F.lit("required").alias("kind"), F.lit(None).cast("int").alias("line_number")))
         if r.get("max_lines"):
@@ -83,7 +110,10 @@ def coherence(texts: DataFrame, violations: DataFrame, key: str = "path") -> Dat
     v = violations.groupBy(key).agg(F.sum(F.when(F.col("severity") == "error", 3).otherwise(1)).alias("weight"), F.bool_or(F.col("severity") == "error").alias("failed"))
     n = F.size(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n"))
     count = lambda p: F.regexp_count("content", F.lit(p))
-    own = F.when(n > 400, 1).otherwise(0) + F.when(count(r"(?m)^import ") > 20, 1).otherwise(0) + F.when(count(r":[ ]*any[^A-Za-z0-9_]") > 5, 1).otherwise(0) + F.when(count(r"console\.[a-z]+\(") > 3, 1).otherwise(0)
+    anys = F.size(F.filter(F.split("content", "[^A-Za-z0-9_]+"), lambda w: w == "any"))
+    slashed = F.translate(F.col(key), "\\", "/")
+    tool = F.contains(slashed, F.lit("/cli/commands/")) | F.contains(slashed, F.lit("/scripts/")) | F.contains(slashed, F.lit("/tests/"))
+    own = F.when(n > 400, 1).otherwise(0) + F.when(count(r"(?m)^import ") > 20, 1).otherwise(0) + F.when(anys > 5, 1).otherwise(0) + F.when((count(r"console\.\w+") > 3) & ~tool, 1).otherwise(0)
     j = texts.where(F.col("content").isNotNull()).select(key, own.alias("own")).join(v, key, "left")
     issues = (F.col("own") + F.coalesce("weight", F.lit(0))).cast("bigint")
     verdict = F.when(F.coalesce("failed", F.lit(False)) | (issues > 2), "fail").when(issues == 0, "pass").otherwise("warn")
@@ -101,7 +131,34 @@ def extract(texts: DataFrame, families, key: str, name: str, kind: str) -> DataF
 
 
 def feature_flags(texts: DataFrame, key: str = "path") -> DataFrame:
-    return extract(texts, FLAGS, key, "flag", "framework")
+    """key, line_number, framework, type, flag, default_on of flags read in a line. Texts and lines without any are
+    dropped before the patterns run; the ternary one runs only on lines that have its last part."""
+    some = r"isEnabled|getVariant|ariation|flags\.|features\.|toggles\.|_ENABLED|_FLAG|featureFlags|if\s*\(\s*['\"]|\?\s*['\"]"
+
+    def named(framework: str, kind: str, p: str) -> Column:
+        found = F.regexp_extract_all("line", F.lit(p), F.lit(1))
+        if kind == "ternary":
+            found = F.when(F.col("line").rlike(r"\?\s*['\"][^'\"]+['\"]"), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda x: F.struct(F.lit(framework).alias("framework"), F.lit(kind).alias("type"), x.alias("flag")))
+
+    rows = lines(texts.where(F.col("content").rlike(some)), [key]).where(F.col("line").rlike(some))
+    on = F.contains("line", F.lit("true")) | F.contains("line", F.lit("enabled"))
+    return rows.select(key, "line_number", on.alias("default_on"), F.explode(F.concat(*[named(*f) for f in FLAGS])).alias("f")).select(key, "line_number", "f.framework", "f.type", "f.flag", "default_on")
+
+
+def taint(texts: DataFrame, key: str = "path") -> DataFrame:
+    """key, variable, source, source_kind, sink, sink_kind: variables set from a source of outside data that are handed,
+    bare, to a sink in the same text. Names hold for the whole file; values are not followed from one to another."""
+    name = lambda n: n.replace(".", r"\.")
+    sources = "|".join(name(n) for n, _ in sorted(TAINT_SOURCES, key=lambda x: -len(x[0])))
+    sinks = "|".join(name(n) for n, _ in sorted(TAINT_SINKS, key=lambda x: -len(x[0])))
+    get, put = rf"\b(?:const|let|var)\s+(\w+)(?:\s*:[^=;]+)?\s*=\s*({sources})\b(?!\.)", rf"(?<![\w.])({sinks})\s*\(([^()]*)\)"
+    all_of = lambda p, i: F.regexp_extract_all("content", F.lit(p), F.lit(i))
+    t = texts.where(F.col("content").rlike(get)).select(key, F.arrays_zip(all_of(get, 1).alias("v"), all_of(get, 2).alias("s")).alias("from_"), F.arrays_zip(all_of(put, 1).alias("k"), all_of(put, 2).alias("a")).alias("to_"))
+    r = t.select(key, "to_", F.explode("from_").alias("f")).select(key, "f", F.explode("to_").alias("t"))
+    kind = lambda c, table: F.element_at(F.create_map(*[F.lit(x) for kv in table for x in kv]), c)
+    args = F.transform(F.split("t.a", ","), lambda x: F.trim(x))
+    return r.where(F.array_contains(args, F.col("f.v"))).select(key, F.col("f.v").alias("variable"), F.col("f.s").alias("source"), kind(F.col("f.s"), TAINT_SOURCES).alias("source_kind"), F.col("t.k").alias("sink"), kind(F.col("t.k"), TAINT_SINKS).alias("sink_kind"))
 
 
 def api_surface(texts: DataFrame, key: str = "path") -> DataFrame:
@@ -128,9 +185,9 @@ def unused_imports(texts: DataFrame, key: str = "path") -> DataFrame:
 def test_quality(texts: DataFrame, key: str = "path") -> DataFrame:
     """Per test file: tests, assertions, and whether it is weak (fewer than 1.5 assertions a test)."""
     t = texts.where(F.col("content").isNotNull() & (F.contains(key, F.lit(".test.")) | F.contains(key, F.lit(".spec.")) | F.contains(key, F.lit("/tests/"))))
-    tests = F.regexp_count("content", F.lit(r"(?m)^[ \t]*(?:export )?(?:async )?(?:function|def|func|fn|it|test)[ (]"))
-    checks = F.regexp_count("content", F.lit(r"(?:expect|assert|push|append|add)[A-Za-z]*\("))
-    return t.select(key, tests.cast("bigint").alias("tests"), checks.cast("bigint").alias("assertions")).withColumn("weak", F.col("assertions") < F.col("tests") * 1.5)
+    total = lambda ps: sum((F.regexp_count("content", F.lit(p)) for p in ps[1:]), F.regexp_count("content", F.lit(ps[0])))
+    tests, checks = total(TESTS), total(ASSERTIONS)
+    return t.select(key, tests.cast("bigint").alias("tests"), checks.cast("bigint").alias("assertions")).withColumn("weak", (F.col("tests") > 0) & (F.col("assertions") < F.col("tests") * 1.5))
 
 
 def docs(texts: DataFrame, key: str = "path") -> DataFrame:

@@ -4,7 +4,7 @@ import importlib
 
 from .registry import Registry, core
 
-MODULES = ("integrity", "reports", "graphs", "records", "texts")
+MODULES = ("integrity", "reports", "graphs", "records", "texts", "analysis")
 
 
 def load() -> Registry:

@@ -62,7 +62,7 @@ def contracts_eval(spark, d):
 
 _COH = f"""{_CON}, vw as (select path, sum(case when severity = 'error' then 3 else 1 end) w, bool_or(severity = 'error') f from vi group by 1),
 nl as (select path, count(*) n, count_if(starts_with(line, 'import ')) im from ln group by 1),
-co as (select t.path, (case when n > 400 then 1 else 0 end) + (case when im > 20 then 1 else 0 end) + (case when len(regexp_extract_all(content, ':[ ]*any[^A-Za-z0-9_]')) > 5 then 1 else 0 end) + (case when len(regexp_extract_all(content, 'console\\.[a-z]+\\(')) > 3 then 1 else 0 end) + coalesce(w, 0) issues, coalesce(f, false) f from tx t join nl on nl.path = t.path left join vw on vw.path = t.path)"""
+co as (select t.path, (case when n > 400 then 1 else 0 end) + (case when im > 20 then 1 else 0 end) + (case when len(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), lambda w: w = 'any')) > 5 then 1 else 0 end) + (case when len(regexp_extract_all(content, 'console\\.\\w+')) > 3 and not (contains(t.path, '/cli/commands/') or contains(t.path, '/scripts/') or contains(t.path, '/tests/')) then 1 else 0 end) + coalesce(w, 0) issues, coalesce(f, false) f from tx t join nl on nl.path = t.path left join vw on vw.path = t.path)"""
 
 
 @core.add("coherence_fast", f"with {_COH} select path, cast(issues as bigint) issues, case when f or issues > 2 then 'fail' when issues = 0 then 'pass' else 'warn' end verdict, cast(round(greatest(0.3, 0.9 - issues * 0.15), 4) as double) confidence from co")
@@ -79,7 +79,7 @@ def _families(fam, kind, name):
     return " union all ".join(f"select path, '{k}' {kind}, unnest(regexp_extract_all(content, '{_q(p)}', 1)) as {name} from tx" for k, p in fam)
 
 
-@core.add("feature_flags", f"with {_T} {_families(R.FLAGS, 'framework', 'flag')}")
+@core.add("feature_flags", f"with {_L} " + " union all ".join(f"select path, cast(line_number as int) line_number, '{k}' framework, '{t}' as type, unnest(regexp_extract_all(line, '{_q(p)}', 1)) as flag, contains(line, 'true') or contains(line, 'enabled') default_on from ln" for k, t, p in R.FLAGS))
 def feature_flags(spark, d):
     return R.feature_flags(texts(spark, d))
 
@@ -109,7 +109,7 @@ def unused_imports(spark, d):
     return R.unused_imports(texts(spark, d))
 
 
-@core.add("test_quality", f"with {_T}, x as (select path, len(regexp_extract_all(content, '(?m)^[ \\t]*(?:export )?(?:async )?(?:function|def|func|fn|it|test)[ (]')) tests, len(regexp_extract_all(content, '(?:expect|assert|push|append|add)[A-Za-z]*\\(')) assertions from tx where content is not null and (contains(path, '.test.') or contains(path, '.spec.') or contains(path, '/tests/'))) select path, cast(tests as bigint) tests, cast(assertions as bigint) assertions, assertions < tests * 1.5 weak from x")
+@core.add("test_quality", f"with {_T}, x as (select path, {' + '.join(f"len(regexp_extract_all(content, '{_q(p)}'))" for p in R.TESTS)} tests, {' + '.join(f"len(regexp_extract_all(content, '{_q(p)}'))" for p in R.ASSERTIONS)} assertions from tx where content is not null and (contains(path, '.test.') or contains(path, '.spec.') or contains(path, '/tests/'))) select path, cast(tests as bigint) tests, cast(assertions as bigint) assertions, tests > 0 and assertions < tests * 1.5 weak from x")
 def test_quality(spark, d):
     return R.test_quality(texts(spark, d))
 
@@ -155,3 +155,19 @@ def file_status(spark, d):
     i = table(spark, d, "imports").groupBy(F.col("file_id").alias("id")).agg(F.count_distinct("id").alias("imports"))
     f = table(spark, d, "function_defs").groupBy(F.col("file_id").alias("id")).agg(F.count_distinct("id").alias("functions"), F.max("complexity").alias("worst"))
     return c.join(i, "id", "left").join(f, "id", "left").select("id", "relative_path", F.coalesce("imports", F.lit(0)).alias("imports"), F.coalesce("functions", F.lit(0)).alias("functions"), "worst")
+
+
+@core.add("default_contracts", f"with {_L} select path, 'no-eval' contract from ln where regexp_matches(path, '(?i)\\.ts$') and regexp_matches(line, '(?i)eval\\s*\\(') union all select path, 'no-eval' from ln where regexp_matches(path, '(?i)\\.ts$') and regexp_matches(line, '(?i)new\\s+Function\\s*\\(')")
+def default_contracts(spark, d):
+    """The default contracts on the paths as they stand; files below none of their folders cannot break them."""
+    return R.contracts(texts(spark, d), list(R.DEFAULT_CONTRACTS)).select("path", "contract")
+
+
+@core.add("taint_flows")
+def taint_flows(spark, d):
+    return R.taint(texts(spark, d))
+
+
+@core.add("feature_flag_summary", f"with {_L}, f as (" + " union all ".join(f"select path, '{k}' framework, unnest(regexp_extract_all(line, '{_q(p)}', 1)) as flag from ln" for k, t, p in R.FLAGS) + ") select framework, count(*) n, count(distinct flag) flags, count(distinct path) files from f group by 1")
+def feature_flag_summary(spark, d):
+    return R.feature_flags(texts(spark, d)).groupBy("framework").agg(F.count("*").alias("n"), F.count_distinct("flag").alias("flags"), F.count_distinct("path").alias("files"))
