@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.paths import module_of
 from ..functions.scalars import clamp01, genome_label, half_up
 
-_SIZE = F.coalesce("size_bytes", F.lit(0))
-_LOAD = F.coalesce("cognitive_load", F.lit(0.0))
-_TOUCHED = F.coalesce("agent_touched", F.lit(False))
+
+def _size() -> Column:
+    return F.coalesce("size_bytes", F.lit(0))
+
+
+def _load() -> Column:
+    return F.coalesce("cognitive_load", F.lit(0.0))
+
+
+def _touched() -> Column:
+    return F.coalesce("agent_touched", F.lit(False))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -21,28 +29,28 @@ def scale_report(files: DataFrame) -> DataFrame:
     """One row of totals; lines are estimated from bytes. Null sizes and loads count as nothing; an empty table gives zeros."""
     return files.agg(
         F.count("*").alias("total_files"),
-        F.coalesce(F.sum(_SIZE), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.coalesce(F.sum(half_up(_SIZE / 20)), F.lit(0)).cast("bigint").alias("estimated_lines"),
-        F.round(share(F.sum(_LOAD), F.greatest(F.count("*"), F.lit(1))), 6).alias("average_load"),
-        F.round(share(F.count_if(_TOUCHED), F.greatest(F.count("*"), F.lit(1))), 6).alias("agent_coverage"),
+        F.coalesce(F.sum(_size()), F.lit(0)).cast("bigint").alias("total_bytes"),
+        F.coalesce(F.sum(half_up(_size() / 20)), F.lit(0)).cast("bigint").alias("estimated_lines"),
+        F.round(share(F.sum(_load()), F.greatest(F.count("*"), F.lit(1))), 6).alias("average_load"),
+        F.round(share(F.count_if(_touched()), F.greatest(F.count("*"), F.lit(1))), 6).alias("agent_coverage"),
     )
 
 
 def language_breakdown(files: DataFrame) -> DataFrame:
-    return files.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count("*").alias("files"), F.sum(_SIZE).cast("bigint").alias("bytes"))
+    return files.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count("*").alias("files"), F.sum(_size()).cast("bigint").alias("bytes"))
 
 
 def module_rollup(files: DataFrame) -> DataFrame:
     g = files.groupBy("project_id", module_of(F.col("relative_path")).alias("module"))
-    return g.agg(F.count("*").alias("files"), F.sum(_SIZE).cast("bigint").alias("bytes"), F.round(F.sum(_LOAD), 4).alias("load"), F.round(F.avg(_TOUCHED.cast("int")), 6).alias("coverage"))
+    return g.agg(F.count("*").alias("files"), F.sum(_size()).cast("bigint").alias("bytes"), F.round(F.sum(_load()), 4).alias("load"), F.round(F.avg(_touched().cast("int")), 6).alias("coverage"))
 
 
 def hotspots(files: DataFrame, n: int = 10) -> DataFrame:
-    return files.select("id", "relative_path", _LOAD.alias("load")).orderBy(F.desc("load"), "id").limit(n)
+    return files.select("id", "relative_path", _load().alias("load")).orderBy(F.desc("load"), "id").limit(n)
 
 
 def uncovered(files: DataFrame, n: int = 10) -> DataFrame:
-    return hotspots(files.where(~_TOUCHED), n)
+    return hotspots(files.where(~_touched()), n)
 
 
 def uncovered_modules(files: DataFrame) -> DataFrame:
@@ -59,13 +67,13 @@ def module_info(files: DataFrame, prefix: str) -> DataFrame:
 
 
 def coverage_heatmap(files: DataFrame) -> DataFrame:
-    return files.select("id", "relative_path", _TOUCHED.alias("covered"), _LOAD.alias("load"))
+    return files.select("id", "relative_path", _touched().alias("covered"), _load().alias("load"))
 
 
 def agent_profiles(files: DataFrame, sessions: DataFrame) -> DataFrame:
     """agent, sessions, first and last, files touched: sessions (agent, started_at) grouped, then joined with touches grouped."""
     s = sessions.groupBy("agent").agg(F.count("*").alias("sessions"), F.min("started_at").alias("first_seen"), F.max("started_at").alias("last_seen"))
-    t = files.where(_TOUCHED & F.col("agent_touched_by").isNotNull()).groupBy(F.col("agent_touched_by").alias("agent")).agg(F.count("*").alias("touched"))
+    t = files.where(_touched() & F.col("agent_touched_by").isNotNull()).groupBy(F.col("agent_touched_by").alias("agent")).agg(F.count("*").alias("touched"))
     return s.join(t, "agent", "full_outer").select("agent", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("touched", F.lit(0)).alias("touched"), "first_seen", "last_seen")
 
 
@@ -73,7 +81,7 @@ def churn(files: DataFrame, touches: DataFrame, as_of: Column, days: int = 30) -
     """Risk of every file from its touches (file_id, ts) in the window and its load; files of no churn and risk drop out."""
     recent = touches.where((F.col("ts") <= as_of) & (F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("churn"))
     f = files.join(recent, "id", "left").withColumn("churn", F.coalesce("churn", F.lit(0)))
-    risk = F.least(F.col("churn") / 20, F.lit(1.0)) * 0.6 + F.least(_LOAD / 0.5, F.lit(1.0)) * 0.4
+    risk = F.least(F.col("churn") / 20, F.lit(1.0)) * 0.6 + F.least(_load() / 0.5, F.lit(1.0)) * 0.4
     return f.withColumn("risk", F.round(risk, 6)).where("churn > 0 or risk > 0.1").select("id", "relative_path", "agent_touched_by", "churn", "risk")
 
 
@@ -105,9 +113,9 @@ def relevance(files: DataFrame, task: str) -> DataFrame:
     for w in words:
         hit = hit | F.contains(name, F.lit(w))
         score = score + F.when(F.contains(rel, F.lit(w)), 0.3).otherwise(0.0)
-    base = (F.when(hit, 0.8).otherwise(0.0) + score + F.when(_TOUCHED, 0.2).otherwise(0.0) - _LOAD * 0.3) if words else F.lit(0.5)
+    base = (F.when(hit, 0.8).otherwise(0.0) + score + F.when(_touched(), 0.2).otherwise(0.0) - _load() * 0.3) if words else F.lit(0.5)
     r = F.round(clamp01(base), 6)
-    return files.select("id", "project_id", "relative_path", r.alias("relevance"), F.round(r * (1 - F.least(_LOAD, F.lit(1.0))), 6).alias("priority"), F.ceil(_SIZE / 4).cast("bigint").alias("tokens"))
+    return files.select("id", "project_id", "relative_path", r.alias("relevance"), F.round(r * (1 - F.least(_load(), F.lit(1.0))), 6).alias("priority"), F.ceil(_size() / 4).cast("bigint").alias("tokens"))
 
 
 def context_budget(scored: DataFrame, budget: int, order: str = "priority", candidates: int = 1000) -> DataFrame:

@@ -36,7 +36,7 @@ def changed_since(scanned: DataFrame, state: DataFrame) -> DataFrame:
 
 def decision_records(spark: SparkSession, root: str) -> DataFrame:
     """path, title, status, date of the Markdown decision records below root."""
-    t = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).withColumn("path", F.col("_metadata.file_path"))
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     pick = lambda p: F.nullif(F.trim(F.regexp_extract("value", p, 1)), F.lit(""))
     return t.select("path", pick(r"(?m)^#\s+(.+)$").alias("title"), F.lower(F.coalesce(pick(r"(?im)^(?:\*\*)?status(?:\*\*)?\s*:\s*(?:\*\*)?\s*(\w+)"), pick(r"(?im)^##\s*status\s*\n+\s*(\w+)"), F.lit("unknown"))).alias("status"), pick(r"(?im)^(?:\*\*)?date(?:\*\*)?\s*:\s*(?:\*\*)?\s*([0-9-]+)").alias("date"))
 
@@ -60,7 +60,7 @@ def aliases(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(prefix, target) of the path aliases of a compiler configuration; a trailing star is dropped. A handful of settings."""
     import json
 
-    text = "".join(r.value for r in spark.read.option("wholetext", "true").text(path).take(1))
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).take(1))
     paths = json.loads(text or "{}").get("compilerOptions", {}).get("paths", {})
     return [(k.removesuffix("*"), t.removesuffix("*").removeprefix("./")) for k, ts in paths.items() for t in ts[:1]]
 

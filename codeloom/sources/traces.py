@@ -15,7 +15,7 @@ def _columns(df: DataFrame, e: str) -> DataFrame:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """from_function, to_function, workload_id, call_count, static_missed of trace files. Files that are no JSON of a
     known form have no events."""
-    t = spark.read.option("wholetext", "true").text(path)
+    t = spark.read.text(path, wholetext=True)
     whole = F.from_json("value", f"struct<calls:array<{EVENT}>,events:array<{EVENT}>>")
     array = F.from_json("value", f"array<{EVENT}>")
     listed = F.when(F.ltrim("value").startswith("["), array).otherwise(F.coalesce(whole["calls"], whole["events"]))
