@@ -36,6 +36,7 @@ _NO_BRACKET = re.compile(r"[^()\[\]{}]+")
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|={7}|\|{7})(?:[ \t\r]|$)", re.M)
 _QUOTES = re.compile("[“”„‘’«»…–—·•]")
 _HEREDOC = re.compile(r"<<[~-]?(['\"`]?)([A-Za-z_]\w*)\1([^\n]*)\n[\s\S]*?^[ \t]*\2[ \t]*$", re.M)
+_DEFINE = re.compile(r"^[ \t]*#[ \t]*define\b(?:\\\n|[^\n])*", re.M)
 _JSX_TAG = r"<(?:/?[A-Za-z][\w.:-]*(?:\s+[\w:-]+(?:=(?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{[^{}]*\})*\}))?)*\s*/?)?>"
 _JSX_TEXT = re.compile(rf"({_JSX_TAG})([^<>{{}}=;()]*?)(?=[<{{])")
 _JSX_AFTER = re.compile(r"\}([^<>{}=;()\n]*)(?=</[A-Za-z>])")
@@ -48,6 +49,8 @@ def prepare(text: str, language: str) -> str:
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     if language in JSX and "</" in text:
         text = _JSX_AFTER.sub("}", _JSX_TEXT.sub(r"\1", text))
+    elif language == "cpp" and "define" in text:
+        text = _DEFINE.sub("#define", text)  # what a macro stands for need not be balanced
     elif language == "ruby" and "<<" in text:
         text = _HEREDOC.sub(lambda m: STRING + m[3], text)
     return text
@@ -176,13 +179,14 @@ _JS_TAIL = re.compile(
       (?!(?:import|export|const|let|var|function|class|interface|enum|namespace|abstract|declare|if|while|for|switch|try|catch|else|do)\b(?!\s*[.=(]))[^\n]*(?:\n.*)*)""",
     re.X | re.S,
 )
+_JS_OPEN_FROM = re.compile(r"(?:^|[\n;])[ \t]*(?:import|export)\b[^\n;]*\bfrom[ \t]*(?:\n[ \t]*(?!\x01)\S|;|\Z)")
 _JS_HEAD_NO_BODY = re.compile(r"(?:^|[\n;\x04])[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?(?:function\b[ \t]*\*?[ \t]*[\w$]*|class[ \t]+[\w$]+[^\x04;\n=]*|interface[ \t]+[\w$]+[^\x04;\n=]*|enum[ \t]+[\w$]+)[ \t]*(?=\n[ \t]*(?:export|import|const|let|var|function|class)\b|\Z)")
 
 _RUBY_OPEN = re.compile(r"(?:^|;|(?<=[=(|&,]))[ \t]*(?:(?:private|public|protected|module_function|private_class_method)[ \t]+(?=def\b))?(?:\w+[ \t]*(?:\|\|)?=[ \t]*)?(def|class|module|begin|case|if|unless|while|until|for)\b(?![?!:]|[ \t]*=[^=~>])", re.M)
 _RUBY_DO = re.compile(r"(?<![.\w@:$])do\b(?![?!:])")
 _RUBY_END = re.compile(r"(?<![.\w@:$])end\b(?![?!:\w])")
 _RUBY_LOOP = re.compile(r"(?:^|;)[ \t]*(?:while|until|for)\b[^\n;]*?\bdo\b", re.M)
-_RUBY_ENDLESS = re.compile(r"^[ \t]*def[ \t]+[\w.?!]+[ \t]*(?:\x02)?[ \t]*=(?![=~>])", re.M)
+_RUBY_ENDLESS = re.compile(r"^[ \t]*def[ \t]+[\w.?!]+[ \t]*(?:\([^()]*\))?[ \t]+=(?![=~>])", re.M)
 _RUBY_ALIEN = re.compile(
     r"^[ \t]*(?:(?:def|if|elif|while|for|else|try|except|with|class)\b[^\n]*:[ \t]*$|(?:func|fn|pub|function|export|let|var|int|void|static|import|from|const|using|#include|elif|except)\b[ \t]+[\w{\x01*]|public[ \t]+(?:class|static|final|int|void)\b|package[ \t]+[\w.]+;?[ \t]*$|\}[ \t]*else\b|<[!/a-zA-Z])|[\w)\x02\x03]\s*;\s*\n\s*\}|\bint\b[ \t]+\w+[ \t]*[=,)]|=>\s*\{\s*\n|^[ \t]*-[ \t]+\w+[ \t]+\w+[ \t]+\w+[^\n]*$",
     re.M,
@@ -195,7 +199,7 @@ def _cpp(code: str) -> bool:
     if words - _DIRECTIVES:
         return False
     code = fold(_DIRECTIVE.sub("", code)).replace(_C + ",", _C + ";") if "#" in code else fold(code)
-    at, end = 0, len(code.rstrip())
+    at, end, block = 0, len(code.rstrip()), False
     while at < end:
         m = _CPP_ITEM.match(code, at)
         if not m or m.end() == at:
@@ -210,9 +214,9 @@ def _cpp(code: str) -> bool:
                 return False
             if _P in head and re.search(r"\x02\s*:\s*$|->\s*$", head):
                 return False
-        elif head and m[2] == ";" and re.match(r"[A-Za-z_]\w*$", head) and head not in ("break", "continue", "return"):
+        elif head and not block and re.match(r"[A-Za-z_]\w*$", head):
             return False
-        at = m.end()
+        at, block = m.end(), m[2] == _C
     return True
 
 
@@ -224,7 +228,7 @@ def _ruby(code: str) -> bool:
         return False
     depth = 0
     events = [(m.start(1), 1) for m in _RUBY_OPEN.finditer(code)] + [(m.start(), 1) for m in _RUBY_DO.finditer(code)] + [(m.start(), -1) for m in _RUBY_END.finditer(code)]
-    events += [(m.end(), -1) for m in _RUBY_LOOP.finditer(code)] + [(m.end(), -1) for m in _RUBY_ENDLESS.finditer(flat if len(flat) == len(code) else code)]
+    events += [(m.end(), -1) for m in _RUBY_LOOP.finditer(code)] + [(m.end(), -1) for m in _RUBY_ENDLESS.finditer(code)]
     for _, d in sorted(events):
         depth += d
         if depth < 0:
@@ -250,7 +254,7 @@ def _js(code: str) -> bool:
     if _JS_ADJACENT.search(code):
         return False
     top = fold(code)
-    if _JS_HEAD_NO_BODY.search(top):
+    if _JS_HEAD_NO_BODY.search(top) or _JS_OPEN_FROM.search(top):
         return False
     tail = re.split(rf"[;{_C}](?=\s)|\n(?=[ \t]*\n)", top.rstrip() + "\n")[-1].strip()
     # The last statement, from its own line on: lines before it end by themselves.
