@@ -62,10 +62,10 @@ def link_hierarchies(links: DataFrame, parent: str, child: str, with_path: bool
       ring, depth and path from the node of the ring above it.
     - An empty table gives an empty result.
     """
-    edges = links.select(F.col(parent).alias("p"), F.col(child).alias("node")).where("p is not null and node is not null").groupBy("node").agg(F.min("p").alias("p"))
+    ends = cut(links.select(F.col(parent).alias("p"), F.col(child).alias("node")).where("p is not null and node is not null").distinct())
+    edges = ends.groupBy("node").agg(F.min("p").alias("p"))
     kind = dict(edges.dtypes)["node"]
-    ends = links.where(F.col(parent).isNotNull() & F.col(child).isNotNull())
-    roots = ends.select(F.col(parent).alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+    roots = ends.select(F.col("p").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
     seg = (lambda *c: [F.array(*c).alias("seg")]) if with_path else (lambda *c: [])
     up = edges.select("node", F.col("p").alias("anc"), F.lit(1).cast("int").alias("dist"), F.lit(False).alias("done"), F.least("node", "p").alias("low"), *seg(F.col("node")))
     top = roots.select("node", F.col("node").alias("anc"), F.lit(0).cast("int").alias("dist"), F.lit(True).alias("done"), F.col("node").alias("low"), *seg(F.col("node")))

@@ -63,6 +63,13 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as the session has cores. A table of a few small files would be worked on by
+    as many tasks; one that already has enough partitions is left as it is, so nothing large is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; reads no further than that."""
     return df.limit(limit + 1).count() <= limit
