@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Words of the passage that has to be found, and the number of items whose prefix index is sent to the workers at once:
 #: the broadcast holds that many items (some 100 words each) whatever the size of the corpus; more items go in rounds.
 WINDOW = 16
@@ -173,7 +175,7 @@ def document_frequencies(documents: DataFrame, vocabulary: set[str], text: str =
                     n[w] = n.get(w, 0) + 1
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
-    rows = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = spread(documents.where(F.col(text).isNotNull()).select(text)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r.word: r.n for r in rows}
     return df, df.pop("", 0)
 
@@ -204,6 +206,6 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "item_id": pa.array(found, pa.int64())})
 
         src = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-        got = src.mapInArrow(search, "doc_id bigint, item_id bigint")
+        got = spread(src).mapInArrow(search, "doc_id bigint, item_id bigint")
         out = got if out is None else out.unionByName(got)
     return out.distinct()

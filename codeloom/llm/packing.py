@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 #: Where the vocabulary is, the capacity in tokens, and the most items that one task packs.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, "doc_id bigint, tokens bigint")
+    return spread(documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(count, "doc_id bigint, tokens bigint")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .codelex import OPEN, STRING, blank, language_of
 
 #: Characters of a chunk.
@@ -321,7 +322,7 @@ def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Copies of an input row count once. Files of one chunk and Python files are decided where they are read; chunks of
     longer ones are summarised wherever they land and put together by file.
     """
-    texts = inputs.where(F.col("path").isNotNull() & F.col("content").isNotNull()).groupBy("path").agg(F.max("content").alias("content"))
+    texts = spread(inputs.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content")).groupBy("path").agg(F.max("content").alias("content"))
     # Only the names are joined with the texts: the file rows are the small side.
     j = files.where(F.col("path").isNotNull()).select("id", "project_id", "path").join(texts, "path")
 
@@ -364,8 +365,8 @@ def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         ok = not total[3] and not total[0] and not total[1] and not total[2] and statements_parse(total[4], rows[0]["language"])
         return pa.table({"file_id": pa.array([rows[0]["file_id"]], pa.int64()), "bad": pa.array([not ok])})
 
-    spread = first.where("chunks is not null").select("file_id", "language", F.posexplode("chunks").alias("n", "text"))
-    parts = spread.repartition("file_id", "n").mapInArrow(pieces, _PIECES)
+    apart = first.where("chunks is not null").select("file_id", "language", F.posexplode("chunks").alias("n", "text"))
+    parts = apart.repartition("file_id", "n").mapInArrow(pieces, _PIECES)
     verdicts = parts.groupBy("file_id").applyInArrow(join, "file_id bigint, bad boolean")
     return first.join(verdicts, "file_id", "left").select("file_id", "project_id", "language", F.coalesce("broken", "bad").alias("broken")).where("broken is not null")
 
