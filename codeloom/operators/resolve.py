@@ -16,14 +16,21 @@ from .references import IMPORT_SUFFIXES, import_targets
 
 def candidates(files: DataFrame) -> DataFrame:
     """project_id, target, place, file_id for files (id, project_id, relative_path)."""
-    path = fold(F.col("relative_path"))
-    tries = [F.struct(path.alias("target"), F.lit(0).alias("place"))]
-    swap = lambda a, b, n: F.when(path.endswith(a), F.struct(F.regexp_replace(path, rf"\{a}$", b).alias("target"), F.lit(n).alias("place")))
-    tries += [swap(".ts", ".js", 1), swap(".tsx", ".jsx", 2)]
-    for n, s in enumerate(IMPORT_SUFFIXES):
-        tries.append(F.when(path.endswith("." + s), F.struct(F.regexp_replace(path, rf"\.{s}$", "").alias("target"), F.lit(3 + n).alias("place"))))
-        tries.append(F.when(path.rlike(rf"(^|/)index\.{s}$"), F.struct(F.regexp_replace(path, rf"(^|/)index\.{s}$", "").alias("target"), F.lit(9 + n).alias("place"))))
-    return files.select("project_id", F.col("id").alias("file_id"), F.explode(F.array_compact(F.array(*tries))).alias("c")).select("project_id", "c.target", "c.place", "file_id")
+    f = files.select("project_id", F.col("id").alias("file_id"), fold(F.col("relative_path")).alias("p"))
+    f = f.withColumn("suffix", F.regexp_extract("p", r"\.(" + "|".join(IMPORT_SUFFIXES) + r")$", 1))
+    stem = F.substr("p", F.lit(1), F.length("p") - F.length("suffix") - 1)
+    f = f.withColumn("stem", F.when(F.col("suffix") != "", stem)).withColumn("n", F.array_position(F.array(*[F.lit(x) for x in IMPORT_SUFFIXES]), F.col("suffix")).cast("int") - 1)
+    way = lambda target, place: F.struct(target.alias("target"), place.cast("int").alias("place"))
+    stem, n, suffix = F.col("stem"), F.col("n"), F.col("suffix")
+    index = F.when(stem == "index", F.lit("")).when(stem.endswith("/index"), F.substr(stem, F.lit(1), F.length(stem) - 6))
+    tries = F.array(
+        way(F.col("p"), F.lit(0)),
+        F.when(suffix == "ts", way(F.concat(stem, F.lit(".js")), F.lit(1))),
+        F.when(suffix == "tsx", way(F.concat(stem, F.lit(".jsx")), F.lit(2))),
+        F.when(stem.isNotNull(), way(stem, n + 3)),
+        F.when(index.isNotNull(), way(index, n + 9)),
+    )
+    return f.select("project_id", "file_id", F.explode(F.array_compact(tries)).alias("c")).select("project_id", "c.target", "c.place", "file_id")
 
 
 def resolve_imports(imports: DataFrame, states: DataFrame) -> DataFrame:
