@@ -71,7 +71,7 @@ def plain_version(version: Column) -> Column:
 
 
 def major(version: Column) -> Column:
-    return F.split(plain_version(version), r"\.")[0].try_cast("int") if hasattr(Column, "try_cast") else F.expr(f"try_cast(split({version}, '[.]')[0] as int)")
+    return F.split(plain_version(version), r"\.")[0].try_cast("int")
 
 
 def json_or_text(value: Column) -> Column:
