@@ -71,16 +71,24 @@ class Index:
         vocabulary = sorted({w for _, ws in items for w in ws}, key=lambda w: (df.get(w, 0), w))
         self.code = {w: k for k, w in enumerate(vocabulary)}  # codes are ranks of rarity
         self.weight = [math.log((documents + 2) / (df.get(w, 0) + 1)) for w in vocabulary]
-        self.windows: list[tuple[int, tuple[int, ...]]] = []
+        # Item, words, the last word of the prefix in the order of rarity, and the weight.
+        self.windows: list[tuple[int, tuple[int, ...], int, float]] = []
         self.sets: list[frozenset[int]] = []
         self.prefix: dict[int, list[int]] = {}
         for k, (_, ws) in enumerate(items):
             codes = [self.code[w] for w in ws]
             for i in range(len(codes) - window + 1):
                 part = tuple(codes[i : i + window])
-                for w in set(sorted(part)[: self.edits + 1]):
+                # Shorter still where the words after it could not carry the weight that must be kept.
+                total = sum(self.weight[x] for x in part)
+                by_rarity, rest, need = sorted(part), total, 0
+                least = kept * total
+                while need <= self.edits and rest >= least:
+                    rest -= self.weight[by_rarity[need]]
+                    need += 1
+                for w in set(by_rarity[:need]):
                     self.prefix.setdefault(w, []).append(len(self.windows))
-                self.windows.append((k, part))
+                self.windows.append((k, part, by_rarity[need - 1], total))
                 self.sets.append(frozenset(part))
 
     def find(self, text: str) -> list[int]:
@@ -99,9 +107,9 @@ class Index:
             near.update(self.prefix[w])
         spans: list[tuple[float, int, int]] = []
         for n in near:
-            k, part = self.windows[n]
             if len(self.sets[n] & have) >= len(self.sets[n]) - edits:
-                spans += [(-weight, k, at) for at, weight in self._places(doc, where, part)]
+                k, part, cut, total = self.windows[n]
+                spans += [(-weight, k, at) for at, weight in self._places(doc, where, part, cut, total)]
         # Each stretch of the document goes to the item that keeps most weight there; what else fits is the shared frame.
         owner: dict[int, int] = {}
         found: set[int] = set()
@@ -113,12 +121,10 @@ class Index:
                     owner.setdefault(p, k)
         return [self.ids[k] for k in found]
 
-    def _places(self, doc: list[int], where: dict[int, list[int]], part: tuple[int, ...]) -> Iterator[tuple[int, float]]:
+    def _places(self, doc: list[int], where: dict[int, list[int]], part: tuple[int, ...], cut: int, total: float) -> Iterator[tuple[int, float]]:
         """Where part is in the document, and the weight of the words kept there: positional bound first, then exact
         verification, at each place of a prefix word."""
         window, edits = self.window, self.edits
-        cut = sorted(part)[edits]
-        total = sum(self.weight[x] for x in part)
         most = (1 - self.kept) * total
         seen: set[int] = set()
         for j, w in enumerate(part):
