@@ -118,17 +118,23 @@ def relevance(files: DataFrame, task: str) -> DataFrame:
     return files.select("id", "project_id", "relative_path", r.alias("relevance"), F.round(r * (1 - F.least(_load(), F.lit(1.0))), 6).alias("priority"), F.ceil(_size() / 4).cast("bigint").alias("tokens"))
 
 
-def context_budget(scored: DataFrame, budget: int, order: str = "priority", candidates: int = 1000) -> DataFrame:
+def context_budget(scored: DataFrame, budget: int, order: str = "priority") -> DataFrame:
     """Greedy choice within a token budget: down the ranking, what does not fit is skipped and the next is tried.
 
-    The choice depends on all choices before it, so it runs as one fold; the fold sees the best `candidates` of each
-    project (a parameter of the feature: an agent's context never holds more files than that), found by a top-k that
-    is limited before the shuffle.
+    Every file is considered. Files of no tokens always fit and need no fold. What is used only grows, so once a file of
+    t tokens is skipped no later one of t tokens fits: of the files of t tokens the first ones down the ranking are
+    chosen, budget / t of them at most. No others reach the fold, which sees some budget * ln(budget) files of a
+    project, whatever its size, and the choice is that of a fold over all. tokens: not negative; null never fits.
     """
     from pyspark.sql import Window
 
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc(order), "id"))).where(F.col("rank") <= candidates)
+    fit = scored.where(F.col("tokens") <= budget)
+    nth = F.row_number().over(Window.partitionBy("project_id", "tokens").orderBy(F.desc(order), "id"))
+    first = fit.where("tokens > 0").withColumn("nth", nth).where(F.col("nth") * F.col("tokens") <= budget)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc(order), "id")))
     rows = ranked.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "tokens"))).alias("rows"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda a, r: F.when(a["used"] + r["tokens"] <= budget, F.struct((a["used"] + r["tokens"]).alias("used"), F.concat(a["ids"], F.array(r["id"])).alias("ids"))).otherwise(a)
-    return rows.select("project_id", F.aggregate("rows", start, step).alias("r")).select("project_id", "r.used", F.explode("r.ids").alias("id"))
+    chosen = rows.select("project_id", F.aggregate("rows", start, step).alias("r")).select("project_id", "r.used", "r.ids")
+    free = fit.where("tokens = 0").select("project_id", "id").join(chosen.select(F.col("project_id").alias("p"), "used"), F.col("project_id").eqNullSafe(F.col("p")), "left")
+    return chosen.select("project_id", "used", F.explode("ids").alias("id")).unionByName(free.select("project_id", F.coalesce("used", F.lit(0).cast("bigint")).alias("used"), "id"))

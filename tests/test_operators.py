@@ -116,6 +116,30 @@ def test_budget_skips_what_does_not_fit(spark, rows):
     assert rows(M.context_budget(s, 100)) == [(1, 100, 1), (1, 100, 3)]
 
 
+def test_budget_considers_every_file(spark, rows):
+    # Beyond rank 1000: a file that still fits and one of no tokens; before them what never fits, or no longer does.
+    f = [(i, 1, 1.0, 60 if i % 2 else 500) for i in range(1, 1501)] + [(1501, 1, 0.5, 30), (1502, 1, 0.4, 0), (1503, 1, 0.3, 11), (1504, 1, 0.2, 10), (2000, 2, 0.1, 0), (2001, 2, 0.2, None), (3000, None, 0.1, 0), (3001, None, 0.2, 7)]
+    s = spark.createDataFrame(f, "id bigint, project_id bigint, priority double, tokens bigint")
+    assert rows(M.context_budget(s, 100)) == sorted([(1, 100, 1), (1, 100, 1501), (1, 100, 1502), (1, 100, 1504), (2, 0, 2000), (None, 7, 3000), (None, 7, 3001)], key=repr)
+
+
+def test_budget_equals_fold_over_all(spark, rows):
+    import random
+
+    r = random.Random(5)
+    f = [(i, i % 3, r.randrange(50) / 50, r.choice([0, 1, 2, 3, 5, 8, 20, 60, 90, 300])) for i in range(4000)]
+    want = []
+    for p in range(3):
+        used, ids = 0, []
+        for i, _, _, t in sorted((x for x in f if x[1] == p), key=lambda x: (-x[2], x[0])):
+            if used + t <= 250:
+                used += t
+                ids.append(i)
+        want += [(p, used, i) for i in ids]
+    s = spark.createDataFrame(f, "id bigint, project_id bigint, priority double, tokens bigint")
+    assert rows(M.context_budget(s, 250)) == sorted(want, key=repr)
+
+
 def test_nearest(spark, rows):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, [1.0, 0.1])], "id bigint, e array<double>")
     assert rows(S.nearest(v, v, "id", "e", 1, 0.7)) == [(1, 2, 1.0), (2, 1, 1.0), (7, 1, 0.995037)]
