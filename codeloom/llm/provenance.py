@@ -5,7 +5,7 @@ counted (a line for every statement and block, each on its own line). Compared w
 - an extreme expansion marks minified text,
 - lines that repeat a few shapes only are the mark of a tool (uniformity),
 - a file in which literals outweigh everything else carries data.
-Notices in comments and the place and name of the file decide about tools and third-party copies.
+Notices in comments, at any place of the text, and the place and name of the file decide about tools and third-party copies.
 """
 
 from __future__ import annotations
@@ -26,17 +26,21 @@ VENDOR_DIRS = ("vendor", "vendored", "third_party", "third-party", "thirdparty",
 GENERATED_NAME = r"[._](?:generated|gen|g|pb|pb2|pb2_grpc|pbjson|designer|autogen|auto)\.[a-z]+$|(?:^|/)zz_generated[._]"
 MINIFIED_NAME = r"[._-]min\.(?:js|mjs|cjs|css|ts)$"
 
-#: Notices of a tool; each must stand in a comment among the first lines.
+#: Where a notice begins: a line, sentence or clause of a comment, with the file as its subject if it has one.
+_LEAD = r"(?:^\W*|[.:;|(!–—]\s*[\"'(*<]?|\s-+\s+)(?:(?:this|the) (?:file|source|code|module|class|script|document|header)s? (?:is|was|has been) (?:an? )?|this (?:is|was) (?:an? )?)?"
+#: Notices of a tool, wherever in a file they stand: told by their form, so that a remark on ids that are generated is none.
 TOOL_NOTICE = re.compile(
-    r"@generated\b|<auto-?generated|\b(?:auto-?|automatically |machine[- ])generated\b(?! (?:types|code|files|schema) (?:by|are|is|should|must))|\bcode generated by\b|\bgenerated (?:automatically )?(?:by|from|with|using) (?:the )?[\w./-]+[^\n]{0,80}?(?:do not (?:edit|modify|change)|overwritten|lost|at the next build|regenerate)"
-    r"|\bdo not (?:edit|modify)\b(?! (?:the |this )?(?:generated|vendored))|\b(?:created|written|produced|emitted) (?:automatically )?by (?:the )?[\w.-]*(?:gen|generator|compiler|codegen|protoc)\b|\b(?:created|written|produced) automatically by\b|\b(?:manual )?changes (?:to this file )?(?:will be|are) (?:lost|overwritten)\b|;\s*hands off\b",
-    re.I,
+    rf"{_LEAD}@?generated\b(?<=@generated)|<auto-?generated|{_LEAD}(?:auto-?|automatically |machine[- ])generated\b(?=\W*$|\s*[.:;,|(!–—*-]| (?:by|from|with|using|on|at|via|file|code|source|module|class|document|content|header|stub|binding)s?\b)(?! (?:types|code|files|schema) (?:by|are|is|should|must))(?! by (?:the |a |an )?(?:database|db|server|backend|caller|user|default)\b)"
+    rf"|{_LEAD}code generated by\b|\bgenerated (?:automatically )?(?:by|from|with|using) (?:the )?[\w./-]+[^\n]{{0,80}}?(?:do not (?:edit|modify|change)|overwritten|lost|at the next build|regenerate)"
+    rf"|(?:{_LEAD}|, *|please )do not (?:edit|modify)\b(?=\W*$|\s*[.;:!,(–—-]| (?:this |the )?(?:file|source|module)\b| (?:this|it)?\W*$| (?:it |this )?(?:by hand|manually|directly)\b)|{_LEAD}(?:created|written|produced|emitted) (?:automatically )?by (?:the )?[\w.-]*(?:gen|generator|compiler|codegen|protoc)\b|{_LEAD}(?:created|written|produced) automatically by\b"
+    rf"|\bmanual changes (?:to this file )?(?:will be|are) (?:lost|overwritten)\b|(?:{_LEAD}|, *)(?:(?:any|all|your|local) )?changes (?:will be|are) (?:lost|overwritten)\b|\bchanges (?:made )?to this file (?:will be|are) (?:lost|overwritten)\b|;\s*hands off\b",
+    re.I | re.M,
 )
 #: A comment that speaks about generated or vendored things instead.
 ABOUT = re.compile(r"\b(?:todo|fixme|helpers? for|wraps?|decides|replace|checks?|tests? for|edit freely|handles?|reads?|parses?|finds?|detects?|which|our own)\b", re.I)
-#: Notices of foreign origin, release and licence.
+#: Notices of foreign origin, release and licence, told by their form too.
 FOREIGN_NOTICE = re.compile(
-    r"\bthird[- ]party copy of\b|\bvendored from\b|\b(?:copied|imported|taken|ported|forked) (?:verbatim )?from [^\n]{1,60}\b(?:version|release|upstream|v?\d+\.\d+)|\bupstream project\b"
+    rf"{_LEAD}third[- ]party copy of\b|{_LEAD}vendored from\b|{_LEAD}(?:copied|imported|taken|ported|forked) (?:verbatim )?from [^\n]{{1,60}}\b(?:version|release|upstream|v?\d+\.\d+)|{_LEAD}upstream project\b(?=:| [\w./-]+\W*(?:$|[);,]))"
     r"|@license\b[^\n]*\d+\.\d+|^\W*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)*\b[^\n]{0,80}(?:\(c\)|copyright|licen[cs]ed?\b|released under)|\breleased under the [^\n]{1,40}licen[cs]e by\b|^\W*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)* *\|[^\n]*\blicensed?\b",
     re.I | re.M,
 )
@@ -96,12 +100,8 @@ def kinds(path: str, text: str | None) -> list[str]:
         out.append("minified")
     language = language_of(p)
     if text and language:
-        head = text[:3000] if len(text) > 3000 else text
         m = measures(text, language)
-        comment = m["comment"]
-        early = {x.strip() for x in head.split("\n")[:40]}
-        notes = [x.strip() for x in comment.split("\n")]
-        notes = [x for x in notes if x and any(x in e for e in early)]
+        notes = [x for x in map(str.strip, m["comment"].split("\n")) if x]
         if "generated" not in out and any(TOOL_NOTICE.search(x) and not ABOUT.search(x) for x in notes):
             out.append("generated")
         if "vendored" not in out and any(FOREIGN_NOTICE.search(x) and not ABOUT.search(x) for x in notes):

@@ -37,6 +37,31 @@ def test_kinds(path, text, want):
     assert P.kinds(path, text) == want
 
 
+LONG = "".join(f"// line {i} of the licence\n" for i in range(60))
+SQUEEZED = "let a = [" + "1, " * 1500 + "0];"
+
+
+@pytest.mark.parametrize("text, want", [
+    (LONG + "// Code generated by protoc-gen-x. DO NOT EDIT.\n" + HAND, ["generated"]),
+    ("".join(f"import {{ a{i} }} from './a{i}';\n" for i in range(50)) + "// @generated by x-codegen, do not edit\n" + HAND, ["generated"]),
+    (HAND * 100 + "// This file was created automatically by the x schema compiler; manual changes will be lost.", ["generated"]),
+    (LONG + "/*!\n * abc v7.6.5 | (c) the def contributors | MIT licensed\n */\n" + HAND, ["vendored"]),
+    (LONG + HAND + "// Vendored from abc at def 1.2.3 (upstream project ghi); local edits are not kept\n", ["vendored"]),
+])
+def test_late_notices(text, want):
+    assert P.kinds("src/a.ts", text) == want
+
+
+def test_notices_at_the_end_of_a_squeezed_line():
+    assert "generated" in P.kinds("src/a.js", SQUEEZED + " /* Autogenerated from x.idl */")
+    assert "vendored" in P.kinds("src/a.js", SQUEEZED + " /* @license abc-1.2.3 (c) def project, Apache-2.0 */")
+
+
+@pytest.mark.parametrize("remark", ["the auto-generated id comes first", "auto-generated ids start at 1", "do not modify the list while it is walked", "nodes created by the compiler are kept", "unsaved changes are lost here", "the upstream project changed its API", "strips the @generated marker", "uses the third-party copy of zlib"])
+def test_late_remarks_are_no_notices(remark):
+    assert P.kinds("src/a.ts", LONG + HAND + f"// {remark}\n" + HAND) == []
+
+
 def test_tables(spark, rows):
     files = [(i, f"/r/{p}" if p else None, p, "clash") for i, (p, _, _) in enumerate(CASES)]
     seen, inputs = set(), []
