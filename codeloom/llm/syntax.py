@@ -1,9 +1,10 @@
 """Source files that do not parse.
 
-A text is cut into chunks at line ends. For every state in which a lexer may enter a chunk (code, a comment, a string
-that runs over lines) the chunk is summarised: the state it leaves, the brackets it closes and opens that have no
-partner inside it, and its code with comments and strings taken out. Summaries compose, (a + b) + c = a + (b + c), so
-chunks of one file may lie in any partition; a file of one chunk needs no shuffle at all. What is balanced is then
+A text is cut into chunks at line ends at which its lexer is in code, so a comment, string or template is never cut and
+each chunk is lexed as it would be within the whole. A chunk is summarised: the state it leaves (code, unless something is
+never closed), the brackets it closes and opens that have no partner inside it, and its code with comments and strings
+taken out. Summaries compose, (a + b) + c = a + (b + c), so chunks of one file may lie in any partition; a file of one
+chunk needs no shuffle at all. What is balanced is then
 parsed: brackets are folded from the inside out, and the statements that are left are matched with a local grammar of
 the language. Python texts go through the interpreter's own parser at that point.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .codelex import OPEN, STRING, blank, language_of
+from .codelex import OPEN, STRETCH, STRING, blank, language_of
 
 #: Characters of a chunk.
 CHUNK = 32_768
@@ -102,15 +103,26 @@ def compose(a: tuple[str, str, str, bool, str], b: tuple[str, str, str, bool, st
     return b[0], a[1] + b[1][k:], a[2][: len(a[2]) - k] + b[2], a[3] or b[3] or bad, a[4] + b[4]
 
 
-def cut_chunks(text: str, size: int = CHUNK) -> list[str]:
-    """The text in chunks of about size characters, each but the last ending with a line end."""
+def cut_chunks(text: str, language: str, size: int = CHUNK) -> list[str]:
+    """The text in chunks of at least size characters, each but the last ending with the first line end after them that
+    lies in no comment, string or template."""
+    if len(text) <= size:
+        return [text]
     out, at = [], 0
+    stretches = STRETCH[language].finditer(text)
+    m = next(stretches, None)
     while at < len(text):
         end = text.find("\n", at + size - 1)
+        while end >= 0:
+            while m and m.end() <= end + 1:
+                m = next(stretches, None)
+            if not m or m.start() > end:
+                break
+            end = text.find("\n", m.end() - 1)
         end = len(text) if end < 0 else end + 1
         out.append(text[at:end])
         at = end
-    return out or [""]
+    return out
 
 
 # ---------------------------------------------------------------- local grammars
@@ -303,16 +315,16 @@ def parses(text: str, language: str, chunk: int = CHUNK) -> bool:
     if language == "python":
         return python_parses(text)
     total = ("", "", "", False, "")
-    for part in cut_chunks(prepare(text, language), chunk):
-        total = compose(total, summarise(part, total[0], language))
-        if total[3] or total[1]:
+    for part in cut_chunks(prepare(text, language), language, chunk):
+        total = compose(total, summarise(part, "", language))
+        if total[0] or total[3] or total[1]:  # what is open at a cut is never closed
             return False
-    return not total[0] and not total[2] and statements_parse(total[4], language)
+    return not total[2] and statements_parse(total[4], language)
 
 
 # ---------------------------------------------------------------- on tables
 
-_PIECES = "file_id bigint, language string, n int, entry string, state string, closers string, openers string, error boolean, code string"
+_PIECES = "file_id bigint, language string, n int, state string, closers string, openers string, error boolean, code string"
 
 
 def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -339,7 +351,7 @@ def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     long.append(None)
                 else:
                     broken.append(None)
-                    long.append(cut_chunks(prepare(t, lang), chunk))
+                    long.append(cut_chunks(prepare(t, lang), lang, chunk))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(broken, pa.bool_()), pa.array(long, pa.list_(pa.string()))], ["file_id", "project_id", "language", "broken", "chunks"])
 
     first = j.select("id", "project_id", "path", "content").mapInArrow(run, "file_id bigint, project_id bigint, language string, broken boolean, chunks array<string>")
@@ -348,21 +360,16 @@ def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for f, lang, n, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                for entry in ["", *STATES[lang]] if n else [""]:
-                    rows.append((f, lang, n, entry, *summarise(text, entry, lang)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()])], [x.split()[0] for x in _PIECES.split(", ")])
+            rows = [(f, lang, n, *summarise(text, "", lang)) for f, lang, n, text in zip(*(b.column(i).to_pylist() for i in range(4)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()])], [x.split()[0] for x in _PIECES.split(", ")])
 
     def join(t: pa.Table) -> pa.Table:
         rows = t.sort_by([("n", "ascending")]).to_pylist()
-        by: dict[int, dict[str, tuple]] = {}
-        for r in rows:
-            by.setdefault(r["n"], {})[r["entry"]] = (r["state"], r["closers"], r["openers"], r["error"], r["code"])
+        by = {r["n"]: (r["state"], r["closers"], r["openers"], r["error"] or r["state"] != "", r["code"]) for r in rows}
         total = ("", "", "", False, "")
         for n in sorted(by):
-            total = compose(total, by[n][total[0]])
-        ok = not total[3] and not total[0] and not total[1] and not total[2] and statements_parse(total[4], rows[0]["language"])
+            total = compose(total, by[n])
+        ok = not total[3] and not total[1] and not total[2] and statements_parse(total[4], rows[0]["language"])
         return pa.table({"file_id": pa.array([rows[0]["file_id"]], pa.int64()), "bad": pa.array([not ok])})
 
     apart = first.where("chunks is not null").select("file_id", "language", F.posexplode("chunks").alias("n", "text"))

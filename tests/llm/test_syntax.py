@@ -50,6 +50,36 @@ def test_chunks_compose_to_the_same(size):
             assert S.parses(t, language, size) == S.parses(t, language), (language, t)
 
 
+OVER_LINES = {
+    "cpp": ['#include <a>\nconst char* s = R"x(\n{ " (\n)y"\n)x";\nint f() {\n  return 1;\n}\n'],
+    "ruby": ["=begin\ndef f \" {\n'\n=end\nA = %w[\n  a'b\n  c\n]\ndef f\n  1\nend\n"],
+    "rust": ['const A: &str = r#"\n" { "\n"#;\nfn f() {\n  g();\n}\n'],
+    "typescript": ["const a = `x\n${b ? `{\n${c}\n` : `\n`}\n(`;\nf(a);\n"],
+    "java": ['class A {\n  String t = """\n    { " \\""" (\n    """;\n}\n'],
+    "go": ["package a\n\nvar s = `\n\"{\n/*\n`\n"],
+}
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_all_chunks_compose_to_the_same(size):
+    for cases in (GOOD, BAD, OVER_LINES):
+        for language, texts in cases.items():
+            for t in texts:
+                assert S.parses(t, language, size) == S.parses(t, language, len(t) + 1), (language, t)
+                if language != "python":
+                    code = S.blank(S.prepare(t, language), language)
+                    assert "".join(S.blank(c, language) for c in S.cut_chunks(S.prepare(t, language), language, size)) == code
+
+
+def test_long_files_with_strings_over_chunks(spark, rows):
+    texts = [(f"p/{lang}.{ext}", OVER_LINES[lang][0]) for lang, ext in (("cpp", "cpp"), ("ruby", "rb"), ("rust", "rs"), ("typescript", "ts"), ("java", "java"), ("go", "go"))]
+    assert all(S.parses(t, S.language_of(p), len(t) + 1) for p, t in texts)
+    texts.append(("p/open.rs", "const A: &str = \"\n" * 9))
+    files = spark.createDataFrame([(i, 1, p) for i, (p, _) in enumerate(texts)], "id bigint, project_id bigint, path string")
+    checked = S.check(files, spark.createDataFrame(texts, "path string, content string"), chunk=16)
+    assert rows(checked.select("file_id", "broken")) == [(i, i == 6) for i in range(7)]
+
+
 def test_compose_is_associative():
     parts = [S.summarise(t, "", "go") for t in ("f(\n", "a) { [\n", "] }\n", "(\n", "})\n")]
     for i in range(3):
