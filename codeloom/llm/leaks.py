@@ -8,16 +8,14 @@ reach of the hit (length and positional bounds), and the passage is verified exa
 
 Shingles are of one word here: with every fourth word changed no run of five words need survive.
 
-Items that share the frame of their sentences differ just in the words that are rare. So the kept words of a passage
-must also carry `KEPT` of its weight, a word's weight being the logarithm of its rarity in the corpus, and each stretch
-of a document is counted for the item that keeps most weight there; else each text made from the same frame would
-count as a leak of every item made from it.
+Items that share the frame of their sentences differ just in few words, and a text made from one may hold enough words of
+the others. So a passage of an item is dropped where another item keeps strictly more words in the same stretch; items
+that keep as many are both reported. This is settled over all items of a document, in whatever blocks they were searched.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -33,8 +31,6 @@ from ..session import spread
 #: the broadcast holds that many items (some 100 words each) whatever the size of the corpus; more items go in rounds.
 WINDOW = 16
 ITEM_BLOCK = 20_000
-#: Share of a passage's weight that its kept words have to carry.
-KEPT = 0.5
 
 _MARKER = re.compile(r"(?m)^[ \t]*(?:(?://+|#+|\*+|>+|--+|;+|%+|\|)[ \t]*)+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?=\w)")
@@ -65,34 +61,31 @@ def words_of(text: str) -> list[str]:
 class Index:
     """Windows of the items, their prefixes by rarity, and the verification of a candidate."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], df: dict[str, int], documents: int, window: int = WINDOW, kept: float = KEPT) -> None:
-        self.window, self.edits, self.kept = window, window // 4, kept
+    def __init__(self, items: list[tuple[int, list[str]]], df: dict[str, int], window: int = WINDOW) -> None:
+        self.window, self.edits = window, window // 4
         self.ids = [i for i, _ in items]
         vocabulary = sorted({w for _, ws in items for w in ws}, key=lambda w: (df.get(w, 0), w))
         self.code = {w: k for k, w in enumerate(vocabulary)}  # codes are ranks of rarity
-        self.weight = [math.log((documents + 2) / (df.get(w, 0) + 1)) for w in vocabulary]
-        # Item, words, the last word of the prefix in the order of rarity, and the weight.
-        self.windows: list[tuple[int, tuple[int, ...], int, float]] = []
+        # Item, words, and the last word of the prefix in the order of rarity.
+        self.windows: list[tuple[int, tuple[int, ...], int]] = []
         self.sets: list[frozenset[int]] = []
         self.prefix: dict[int, list[int]] = {}
         for k, (_, ws) in enumerate(items):
             codes = [self.code[w] for w in ws]
             for i in range(len(codes) - window + 1):
                 part = tuple(codes[i : i + window])
-                # Shorter still where the words after it could not carry the weight that must be kept.
-                total = sum(self.weight[x] for x in part)
-                by_rarity, rest, need = sorted(part), total, 0
-                least = kept * total
-                while need <= self.edits and rest >= least:
-                    rest -= self.weight[by_rarity[need]]
-                    need += 1
-                for w in set(by_rarity[:need]):
+                by_rarity = sorted(part)[: self.edits + 1]
+                for w in set(by_rarity):
                     self.prefix.setdefault(w, []).append(len(self.windows))
-                self.windows.append((k, part, by_rarity[need - 1], total))
+                self.windows.append((k, part, by_rarity[-1]))
                 self.sets.append(frozenset(part))
 
     def find(self, text: str) -> list[int]:
         """Item ids with a passage in the text."""
+        return sorted(settle(self.spans(text), self.window))
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """Item id, place in the words of the text and number of words kept, of every window of an item that is there."""
         code, window, edits = self.code, self.window, self.edits
         doc = [code.get(w, -1) for w in words_of(text)]
         if len(doc) < window - edits:
@@ -105,27 +98,19 @@ class Index:
         near: set[int] = set()
         for w in self.prefix.keys() & have:
             near.update(self.prefix[w])
-        spans: list[tuple[float, int, int]] = []
+        best: dict[tuple[int, int], int] = {}
         for n in near:
             if len(self.sets[n] & have) >= len(self.sets[n]) - edits:
-                k, part, cut, total = self.windows[n]
-                spans += [(-weight, k, at) for at, weight in self._places(doc, where, part, cut, total)]
-        # Each stretch of the document goes to the item that keeps most weight there; what else fits is the shared frame.
-        owner: dict[int, int] = {}
-        found: set[int] = set()
-        for _, k, at in sorted(spans):
-            stretch = range(at, at + window)
-            if 2 * sum(owner.get(p, k) != k for p in stretch) <= window:
-                found.add(k)
-                for p in stretch:
-                    owner.setdefault(p, k)
-        return [self.ids[k] for k in found]
-
-    def _places(self, doc: list[int], where: dict[int, list[int]], part: tuple[int, ...], cut: int, total: float) -> Iterator[tuple[int, float]]:
-        """Where part is in the document, and the weight of the words kept there: positional bound first, then exact
+                k, part, cut = self.windows[n]
+                for at, kept in self._places(doc, where, part, cut):
+                    at_item = self.ids[k], at
+                    best[at_item] = max(kept, best.get(at_item, 0))
+        return [(i, at, kept) for (i, at), kept in best.items()]
+
+    def _places(self, doc: list[int], where: dict[int, list[int]], part: tuple[int, ...], cut: int) -> Iterator[tuple[int, int]]:
+        """Where part is in the document, and how many words are kept there: positional bound first, then exact
         verification, at each place of a prefix word."""
         window, edits = self.window, self.edits
-        most = (1 - self.kept) * total
         seen: set[int] = set()
         for j, w in enumerate(part):
             if w > cut:
@@ -135,21 +120,21 @@ class Index:
                 if shift in seen:
                     continue
                 seen.add(shift)
-                missed, lost = 0, 0.0
+                missed = 0
                 for i, x in enumerate(part):
                     if not any(-edits <= q - i - shift <= edits for q in where.get(x, ())):
                         missed += 1
-                        lost += self.weight[x]
-                        if missed > edits or lost > most:
+                        if missed > edits:
                             break
                 else:
-                    if self._passage(doc[max(0, shift - edits) : shift + window + edits], part):
-                        yield shift, total - lost
-
-    def _passage(self, doc: list[int], part: tuple[int, ...]) -> bool:
-        """Whether part is in doc with at most `edits` words replaced, added or dropped: edit distance of part to every
-        stretch of doc, one column a word."""
-        m, most = self.window, self.edits
+                    changed = self._passage(doc[max(0, shift - edits) : shift + window + edits], part)
+                    if changed <= edits:
+                        yield shift, window - changed
+
+    def _passage(self, doc: list[int], part: tuple[int, ...]) -> int:
+        """The fewest words replaced, added or dropped with which part is in doc: edit distance of part to every stretch
+        of doc, one column a word."""
+        m = least = self.window
         words = np.asarray(part, np.int32)
         steps = np.arange(m + 1, dtype=np.int32)
         col = steps.copy()
@@ -158,37 +143,52 @@ class Index:
             new[0] = 0  # a passage may begin anywhere
             np.minimum(col[:-1] + (words != w), col[1:] + 1, out=new[1:])
             col = np.minimum.accumulate(new - steps) + steps  # a dropped word costs one
-            if col[m] <= most:
-                return True
-        return False
+            least = min(least, int(col[m]))
+        return least
+
+
+def settle(spans: list[tuple[int, int, int]], window: int = WINDOW) -> set[int]:
+    """The items of the spans (item, place, words kept) of one document, without those of which each span shares more than
+    half its stretch with one in which another item keeps strictly more words."""
+    top: dict[int, tuple[int, int, int]] = {}  # place: most words kept, by which item, most kept by any other
+    for i, at, kept in spans:
+        most, owner, other = top.get(at, (0, i, 0))
+        if i == owner:
+            top[at] = max(most, kept), owner, other
+        else:
+            top[at] = (kept, i, most) if kept > most else (most, owner, max(other, kept))
+    reach = (window - 1) // 2
+
+    def explained(i: int, at: int, kept: int) -> bool:
+        return any((t[0] if t[1] != i else t[2]) > kept for p in range(at - reach, at + reach + 1) if (t := top.get(p)))
+
+    return {i for i, at, kept in spans if not explained(i, at, kept)}
 
 
 def _item_rows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).distinct()
 
 
-def document_frequencies(documents: DataFrame, vocabulary: set[str], text: str = "text") -> tuple[dict[str, int], int]:
-    """The number of documents, and in how many documents each word of the items stands, over all documents. Counted per partition, then summed; the
+def document_frequencies(documents: DataFrame, vocabulary: set[str], text: str = "text") -> dict[str, int]:
+    """In how many documents each word of the items stands, over all documents. Counted per partition, then summed; the
     result has at most as many rows as the items have words."""
     known = documents.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, int] = {"": 0}  # the empty word stands for the documents
+        n: dict[str, int] = {}
         for b in batches:
-            n[""] += b.num_rows
             for t in b.column(0).to_pylist():
                 for w in known.value.intersection(words_of(t)):
                     n[w] = n.get(w, 0) + 1
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
     rows = spread(documents.where(F.col(text).isNotNull()).select(text)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r.word: r.n for r in rows}
-    return df, df.pop("", 0)
+    return {r.word: r.n for r in rows}
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = ITEM_BLOCK) -> DataFrame:
     """Distinct (doc_id, item_id): the document holds a passage of at least `window` words of the item, in order, with at
-    most one word in four replaced, added or dropped.
+    most one word in four replaced, added or dropped, and no other item keeps more words in its place.
 
     Null ids and texts are left out; items of fewer than `window` words cannot leak; an item id with several texts leaks
     by any of them. Texts are searched whole, copies of documents count for themselves. Without items the result is empty.
@@ -198,20 +198,27 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     out = None
     for b in range(blocks):
         part = [(r.item_id, words_of(r.text)) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).sort("item_id", "text").toLocalIterator()]
-        df, n = document_frequencies(documents, {w for _, ws in part for w in ws}, text)
-        index = documents.sparkSession.sparkContext.broadcast(Index(part, df, n, window))
+        df = document_frequencies(documents, {w for _, ws in part for w in ws}, text)
+        index = documents.sparkSession.sparkContext.broadcast(Index(part, df, window))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                docs: list[int] = []
-                found: list[int] = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    hit = sorted(set(index.value.find(t)))
-                    docs += [i] * len(hit)
-                    found += hit
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "item_id": pa.array(found, pa.int64())})
-
-        src = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-        got = spread(src).mapInArrow(search, "doc_id bigint, item_id bigint")
+                rows: list[tuple[int, int, int, int, int]] = []
+                for i, h, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    spans = index.value.spans(t)
+                    # With one block all is known here.
+                    rows += [(i, h, *x) for x in spans] if blocks > 1 else [(i, h, x, 0, 0) for x in settle(spans, window)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], ["doc_id", "copy", "item_id", "at", "kept"])
+
+        src = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+        got = spread(src).mapInArrow(search, "doc_id bigint, copy bigint, item_id bigint, at bigint, kept bigint")
         out = got if out is None else out.unionByName(got)
-    return out.distinct()
+
+    def together(t: pa.Table) -> pa.Table:
+        r = t.to_pydict()
+        items = sorted(settle(list(zip(r["item_id"], r["at"], r["kept"])), window))
+        return pa.table({"doc_id": pa.array(r["doc_id"][:1] * len(items), pa.int64()), "item_id": pa.array(items, pa.int64())})
+
+    if blocks > 1:
+        out = out.groupBy("doc_id", "copy").applyInArrow(together, "doc_id bigint, item_id bigint")
+    return out.select("doc_id", "item_id").distinct()

@@ -59,5 +59,31 @@ def test_frames_are_no_leak(spark):
     assert found(spark, [(i, t) for i, t in items], items) == {(i, i) for i in range(6)}
 
 
+def test_the_rarest_words_may_be_changed(spark):
+    # Common words are in all documents; the four rare ones of the item, which carry most of its weight, are replaced.
+    ws = [f"rare{i}" if i % 4 == 3 else f"common{i}" for i in range(16)]
+    docs = [(i, " ".join(f"common{k}" for k in range(15, -1, -1))) for i in range(50)]
+    leak = (99, " ".join("other" if w.startswith("rare") else w for w in ws))
+    assert found(spark, [*docs, leak], [(1, " ".join(ws))]) == {(99, 1)}
+
+
+def test_shared_passages_are_reported_for_both(spark):
+    rnd = random.Random(7)
+    shared, own = item(rnd, 20), [item(rnd, 20) for _ in range(3)]
+    items = [(i, " ".join(shared + own[i])) for i in range(2)] + [(2, " ".join(own[2]))]
+    docs = [(0, " ".join(shared)), (1, " ".join(shared + own[1])), (2, " ".join(own[2]))]
+    want = {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)}
+    got = found(spark, docs, items)
+    assert {x for x in got if x[0] != 1} == {x for x in want if x[0] != 1} and (1, 1) in got
+    assert found(spark, docs, items, block=1) == got
+
+
+def test_frames_do_not_depend_on_blocks(spark):
+    rnd = random.Random(4)
+    frame = "every {} older than {} scans leaves the tree of {} together with its {} and no other file remains in place after it".split()
+    items = [(i, " ".join(w if w != "{}" else f"z{rnd.randrange(10**6)}" for w in frame)) for i in range(6)]
+    assert found(spark, items, items, block=1) == {(i, i) for i in range(6)}
+
+
 def test_empty(spark):
     assert found(spark, [], [(1, "a " * 30)]) == set() and found(spark, [(1, "a b c")], []) == set()
