@@ -39,7 +39,7 @@ def redundancy_top5(spark, d):
 @core.add("hash_embedding")
 def hash_embedding(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", text_embedding(F.col("text"), 64).alias("embedding"))
+    return docs.select("doc_id", text_embedding(F.col("text")).alias("embedding"))
 
 
 @core.add("structure_nodes")

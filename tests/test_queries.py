@@ -35,6 +35,15 @@ def test_equal(spark, con, name):
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+def test_hash_embedding_has_the_dimension_of_the_operator(spark):
+    from codeloom.functions.embedding import DIM, embed
+
+    e = entry.queries()["hash_embedding"](spark, str(DATA))
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = e.limit(5).collect()
+    assert DIM == 768 and got and all(list(r.embedding) == embed(text[r.doc_id]) for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
