@@ -49,7 +49,7 @@ def catalog(spark, d):
 
 @core.add("module_mermaid", f"with {_RES}, {_MODS}, g as (select x.module a, y.module b, count(*) links from ed join md x on x.node = ed.src join md y on y.node = ed.dst where starts_with(x.module, '3:') group by 1, 2), l as (select '  ' || regexp_replace(a, '[^A-Za-z0-9]', '_', 'g') || ' -->|' || links || '| ' || regexp_replace(b, '[^A-Za-z0-9]', '_', 'g') line from g) select concat_ws(chr(10), 'graph TD', (select string_agg(line, chr(10) order by line) from l)) as text")
 def module_mermaid(spark, d):
-    return G.mermaid(G.module_edges(edges(spark, d), modules(spark, d)).where(F.startswith("a", F.lit("3:"))))
+    return G.mermaid(G.module_edges(edges(spark, d), modules(spark, d)))
 
 
 @core.add("project_report_markdown", "with p as (select p.id, p.name, count(distinct f.id) files from projects p left join files f on f.project_id = p.id group by 1, 2) select '| id | name | files |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || id || ' | ' || name || ' | ' || files || ' |', chr(10) order by id) as text from p")

@@ -121,7 +121,7 @@ def doc_titles(spark, d):
 
 @core.add("keyword_refs", f"with {_T}, w as (select path, unnest(regexp_split_to_array(content, '[^A-Za-z0-9_]+')) as flag from tx), f as (select distinct name as flag from function_defs where id % 100 = 0) select f.flag, count(distinct w.path) texts, count(w.path) refs from f left join w on w.flag = f.flag group by 1")
 def keyword_refs(spark, d):
-    flags = table(spark, d, "function_defs").where("id % 100 = 0").select(F.col("name").alias("flag"))
+    flags = table(spark, d, "function_defs").select(F.col("name").alias("flag"))
     return R.flag_references(flags, texts(spark, d))
 
 
@@ -151,7 +151,7 @@ def incremental_changes(spark, d):
 
 @core.add("file_status", "with c as (select id, relative_path, project_id from (select *, row_number() over (partition by id order by last_scanned desc nulls last, hash desc nulls last, size_bytes desc nulls last) rn from files) where rn = 1) select c.id, c.relative_path, (select count(distinct i.id) from imports i where i.file_id = c.id) imports, (select count(distinct f.id) from function_defs f where f.file_id = c.id) functions, (select max(complexity) from function_defs f where f.file_id = c.id) worst from c where c.project_id = 3")
 def file_status(spark, d):
-    c = cur(spark, d, "relative_path", "project_id").where("project_id = 3")
+    c = cur(spark, d, "relative_path")
     i = table(spark, d, "imports").groupBy(F.col("file_id").alias("id")).agg(F.count_distinct("id").alias("imports"))
     f = table(spark, d, "function_defs").groupBy(F.col("file_id").alias("id")).agg(F.count_distinct("id").alias("functions"), F.max("complexity").alias("worst"))
     return c.join(i, "id", "left").join(f, "id", "left").select("id", "relative_path", F.coalesce("imports", F.lit(0)).alias("imports"), F.coalesce("functions", F.lit(0)).alias("functions"), "worst")
