@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from codeloom.llm import leaks as L
 
 WORDS = [f"w{i}x" for i in range(400)]
@@ -87,3 +89,47 @@ def test_frames_do_not_depend_on_blocks(spark):
 
 def test_empty(spark):
     assert found(spark, [], [(1, "a " * 30)]) == set() and found(spark, [(1, "a b c")], []) == set()
+
+
+def holds(doc, words, window=16):
+    """By the definition: some window or more words of the item are a stretch of the document but for one change in four."""
+    for a in range(len(words) - window + 1):
+        row = [0] * (len(doc) + 1)
+        for n, w in enumerate(words[a:], 1):
+            new = [n]
+            for j, x in enumerate(doc, 1):
+                new.append(min(row[j - 1] + (x != w), row[j] + 1, new[j - 1] + 1))
+            row = new
+            if n >= window and min(row) <= n // 4:
+                return True
+    return False
+
+
+def test_five_changed_in_the_middle_of_twenty(spark):
+    ws = [f"word{i}" for i in range(20)]
+    changed = [f"new{i}" if i in (6, 8, 10, 12, 13) else w for i, w in enumerate(ws)]
+    assert holds(changed, ws) and not any(sum(a != b for a, b in zip(changed[i : i + 16], ws[i : i + 16])) <= 4 for i in range(5))
+    more = [f"new{i}" if i in (5, 6, 8, 10, 12, 13) else w for i, w in enumerate(ws)]
+    assert not holds(more, ws)
+    assert found(spark, [(1, " ".join(changed)), (2, " ".join(more))], [(7, " ".join(ws))]) == {(1, 7)}
+
+
+def test_search_is_that_of_the_definition():
+    rnd = random.Random(11)
+    words = [f"v{i}" for i in range(60)]
+    item_words = [[rnd.choice(words) for _ in range(rnd.choice((16, 19, 24, 34)))] for _ in range(8)]
+    docs = []
+    for k in range(160):
+        ws = item_words[k % 8]
+        part = list(ws[rnd.randrange(3) :][: rnd.randrange(14, 34)])
+        for _ in range(rnd.randrange(0, 9)):
+            at = rnd.randrange(len(part))
+            how = rnd.choice("rda")
+            part[at : at + 1] = {"r": [rnd.choice(words)], "d": [], "a": [part[at], rnd.choice(words)]}[how]
+        docs.append([rnd.choice(words) for _ in range(rnd.randrange(6))] + part + [rnd.choice(words) for _ in range(rnd.randrange(6))])
+    index = L.Index(list(enumerate(item_words)), {int(h): n for n, h in enumerate(L.hashes(words))})
+    flat = L.hashes([w for d in docs for w in d])
+    spans = index.spans(flat, np.r_[0, np.cumsum([len(d) for d in docs])])
+    got = {(int(d), int(i)) for d, i in spans[:, :2]}
+    want = {(d, i) for d, doc in enumerate(docs) for i, ws in enumerate(item_words) if holds(doc, ws)}
+    assert got == want and 40 < len(want) < 160
