@@ -75,3 +75,35 @@ def test_one_value(spark, n):
 def test_scores(spark):
     df = N.similar(frame(spark, [(1, [1.0, 0.5] + [0.0] * 14), (2, [1.0] + [0.0] * 15)]), DIM)
     assert [r.similarity for r in df.orderBy("id").collect()] == [0.894427, 0.894427] and df.where(F.col("id") == F.col("neighbour")).count() == 0
+
+
+def test_production_settings_keep_recall(spark):
+    """Factors and trees as they are used, over shards that are cut again from samples of their own."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((500, 96))
+    x = [(centres[i % 500] + 0.45 * r.standard_normal(96)) for i in range(4000)]
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    u = np.array([v / np.linalg.norm(v) for v in x])
+    want = set()
+    for a in range(len(u)):
+        s = u @ u[a]
+        want |= {(a + 1, int(j) + 1) for j in np.argsort(-s)[1:11] if s[j] >= 0.8}
+    got = pairs(N.similar(frame(spark, rows), 96, 10, 0.8, shard=100, sample=256, fan=4))
+    assert len(want) > 10_000 and len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
+
+
+def test_exact_over_shards_that_are_cut_again(spark):
+    rows = clustered(600)
+    v = frame(spark, rows)
+    assert pairs(N.similar(v, DIM, 5, 0.8, factor=1.0, shard=20, sample=64, fan=3)) == brute(rows, 5, 0.8)
+
+
+@pytest.mark.parametrize("n", [1000, 16000])
+def test_copies_hardly_grow(spark, n):
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((n // 20, 96))
+    x = (centres[np.arange(n) % len(centres)] + 0.45 * r.standard_normal((n, 96))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "key bigint, vec binary")
+    per = N.shards_of(points, n, 96, 0.8, shard=64, sample=2048, fan=64).count() / n
+    assert N.TREES <= per <= 4 * N.TREES
