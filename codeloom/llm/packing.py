@@ -2,22 +2,24 @@
 
 Documents are dealt out to shards of a bounded number of items by a hash of their id. Each shard starts from best fit
 by decreasing size and then improves by local search: documents are moved, exchanged one for one or two for one
-between underfull containers as long as the sum of squared fills grows, which empties the least full ones. What is
-left in underfull containers goes through the same again, dealt out anew, until one shard holds it.
+between underfull containers until no step makes the sum of squared fills grow, which empties the least full ones. What
+is left in underfull containers goes through the same again, dealt out anew, until one shard holds it.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, release, spread
 
 #: Where the vocabulary is, the capacity in tokens, and the most items that one task packs.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,11 +43,13 @@ def encoder(path: str):
 
 
 def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, tokens of every document; a null text has none. The text is encoded whole, in pieces of lines only where
-    it is very long (no token reaches over a line's end followed by a letter)."""
+    """doc_id, tokens of every document; a null text has none. Texts are encoded whole. The vocabulary is a file of the
+    driver; Spark sends it to the executors."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
@@ -71,61 +75,73 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = 40) -> list[list[int]]:
-    """Local search between underfull containers. A step takes from the emptier container `src` and gives to the fuller
-    `dst`: a move, an exchange of one for one, or two for one; it is done if the sum of squared fills grows, which is so
-    if dst gains. Ends when a whole round makes no step."""
-    fill = [int(sum(sizes[i] for i in b)) for b in bins]
-    for _ in range(rounds):
-        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
+def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Local search between underfull containers. A step takes one or two items out of the emptier container and puts one
+    or none of the fuller one's back: it is done if the fuller one gains, so that the sum of squared fills grows. Of all
+    steps of a container the one of the largest gain is taken, into the fullest other. Ends when none is left anywhere.
+
+    All containers are tried as the emptier one, each against the items of all others in one search, so a try costs one
+    pass over the items; of equal sizes in a container one stands for all.
+    """
+    size = np.asarray(sizes, np.int64)
+    where = np.empty(len(size), np.int64)
+    fill = np.array([int(size[b].sum()) for b in bins], np.int64)
+    for k, b in enumerate(bins):
+        where[b] = k
+    while True:
         steps = 0
-        for src in open_bins[: max(8, len(open_bins) // 2)]:
-            for dst in reversed(open_bins):
-                if dst == src or fill[dst] >= capacity or not fill[src]:
-                    continue
-                if fill[dst] < fill[src]:
+        items = np.flatnonzero(fill[where] < capacity)  # what lies in full containers stays there
+        items = items[np.argsort(where[items], kind="stable")]
+        open_bins = np.unique(where[items])
+        for src in open_bins[np.argsort(fill[open_bins], kind="stable")]:
+            while 0 < fill[src] < capacity:
+                step = _step(size, where, fill, items, open_bins, int(src), capacity)
+                if step is None:
                     break
-                gain, out, back = _step(sizes, bins[src], bins[dst], capacity - fill[dst])
-                if gain > 0:
-                    for i in out:
-                        bins[src].remove(i)
-                    for i in back:
-                        bins[dst].remove(i)
-                    bins[src] += back
-                    bins[dst] += out
-                    fill[src] -= gain
-                    fill[dst] += gain
-                    steps += 1
+                out, back, dst = step
+                where[out], where[back] = dst, src
+                gain = int(size[out].sum() - size[back].sum())
+                fill[src] -= gain
+                fill[dst] += gain
+                steps += 1
         if not steps:
             break
-    return [b for b in bins if b]
-
-
-def _step(sizes: np.ndarray, src: list[int], dst: list[int], room: int) -> tuple[int, list[int], list[int]]:
-    """The step with the largest gain of dst within its room: (gain, items out of src, items back into src)."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    s = sorted(((int(sizes[i]), i) for i in src))
-    d = sorted(((int(sizes[i]), i) for i in dst))
-    ssize = [x for x, _ in s]
-    at = bisect.bisect_right(ssize, room)  # move
-    if at:
-        best = (ssize[at - 1], [s[at - 1][1]], [])
-    if best[0] == room:
-        return best
-    for y, j in d:  # one for one
-        at = bisect.bisect_right(ssize, y + room)
-        if at and ssize[at - 1] - y > best[0]:
-            best = (ssize[at - 1] - y, [s[at - 1][1]], [j])
-    if best[0] == room or len(s) * len(d) > 20_000:
-        return best
-    for a, (x, i) in enumerate(s):  # two for one, and one for two
-        for y, j in d:
-            at = bisect.bisect_right(ssize, y + room - x) - 1
-            while at == a:
-                at -= 1
-            if at >= 0 and x + ssize[at] - y > best[0]:
-                best = (x + ssize[at] - y, [i, s[at][1]], [j])
-    return best
+    order = np.argsort(where, kind="stable")
+    return [b.tolist() for b in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(b)]
+
+
+def _step(size: np.ndarray, where: np.ndarray, fill: np.ndarray, items: np.ndarray, open_bins: np.ndarray, src: int, capacity: int) -> tuple[list[int], list[int], int] | None:
+    """(items out of src, items back into src, the container they go to) of the largest gain; None if there is none."""
+    own = items[where[items] == src]
+    single, first = np.unique(size[own], return_index=True)
+    first = own[first]
+    # What can be taken out: one item, or two of different or (if there are two) of equal size.
+    i, j = np.triu_indices(len(single))
+    twice = (i != j) | (np.bincount(np.searchsorted(single, size[own]), minlength=len(single))[i] > 1)
+    i, j = i[twice], j[twice]
+    total = np.concatenate([single, single[i] + single[j]])
+    order = np.argsort(total, kind="stable")
+    total = total[order]
+    # Where it can go: in place of nothing or of one item, in a container that is at least as full and has room.
+    into = np.concatenate([open_bins, where[items]])
+    gone = np.concatenate([np.zeros(len(open_bins), np.int64), size[items]])
+    which = np.concatenate([np.full(len(open_bins), -1), items])
+    fits = (fill[into] < capacity) & (fill[into] >= fill[src]) & (into != src)
+    into, gone, which = into[fits], gone[fits], which[fits]
+    if not len(into):
+        return None
+    at = np.searchsorted(total, gone + (capacity - fill[into]), side="right") - 1
+    gain = np.where(at >= 0, total[at] - gone, 0)
+    best = int(np.lexsort((-fill[into], -gain))[0])
+    if gain[best] <= 0:
+        return None
+    pick = int(order[at[best]])
+    if pick < len(single):
+        out = [int(first[pick])]
+    else:
+        a, b = i[pick - len(single)], j[pick - len(single)]
+        out = [int(first[a]), int(own[size[own] == single[b]][-1])]
+    return out, [int(which[best])] if which[best] >= 0 else [], int(into[best])
 
 
 def _packer(capacity: int, level: int, last: bool):
@@ -145,7 +161,8 @@ def _packer(capacity: int, level: int, last: bool):
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """container, doc_id, part, size for items (doc_id, part, size), each of a size from 1 to capacity."""
+    """container, doc_id, part, size for items (doc_id, part, size), each of a size from 1 to capacity. Containers of which
+    99 % are filled are closed; the items of the others are dealt out again, until they are one shard or none was closed."""
     done: list[DataFrame] = []
     todo, level, before = items, 0, -1
 
@@ -155,8 +172,10 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SH
         shards = max(1, -(-n // shard_items))
         last = shards == 1 or n == before
 
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.lit(level)), F.lit(shards)).cast("int"))
+        # A number of partitions of their own: the rows are a few bytes, so adaptive execution would put all shards into one.
+        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.lit(level)), F.lit(shards)).cast("int")).repartition(2 * shards, "shard")
         packed = cut(dealt.groupBy("shard").applyInArrow(_packer(capacity, level, last), "container string, doc_id bigint, part int, size bigint, closed boolean"))
+        release(todo)
         done.append(packed.where("closed").drop("closed"))
         if last:
             break

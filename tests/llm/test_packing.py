@@ -17,6 +17,29 @@ def test_local_search_keeps_items_and_capacity(sizes):
     assert all(s[b].sum() <= 100 for b in bins) and len(bins) <= n
 
 
+@given(st.lists(st.integers(1, 40), max_size=24))
+@settings(max_examples=80, deadline=None)
+def test_no_step_is_left(sizes):
+    s = np.array(sizes, np.int64)
+    bins = P.improve(s, [[i] for i in range(len(s))], 40)
+    fill = [int(s[b].sum()) for b in bins]
+    for a, src in enumerate(bins):
+        for c, dst in enumerate(bins):
+            if a != c and fill[a] < 40 and fill[a] <= fill[c] < 40:
+                outs = [(i,) for i in src] + [(i, j) for i in src for j in src if i < j]
+                for out in outs:
+                    for back in [0, *s[dst]]:
+                        gain = int(s[list(out)].sum() - back)
+                        assert gain <= 0 or fill[c] + gain > 40, (src, dst, out, back)
+
+
+def test_containers_of_many_small_items():
+    # More than 20 000 pairs of items between two containers; only an exchange of two for one fills the fuller one.
+    s = np.array([3] * 200 + [8] + [4] * 160, np.int64)
+    bins = P.improve(s, [list(range(200)), list(range(200, 361))], 650)
+    assert sorted(int(s[b].sum()) for b in bins) == [int(s.sum()) - 650, 650]
+
+
 def test_swaps_empty_a_container():
     # Neither container can take an item of the other's whole; exchanges are needed to fill one and empty none too many.
     s = np.array([60, 30, 50, 40, 20], np.int64)
