@@ -51,6 +51,38 @@ def test_intervals(spark, rows):
     assert rows(R.orphans(refs, par, "k", "at", ["n"]).select("n", "reason")) == [(1, "late"), (3, "deleted"), (4, "missing"), (5, "missing")]
 
 
+def test_reopened_touching_and_empty_intervals(spark, rows):
+    refs = spark.createDataFrame([(n, k, T[n]) for k in "abcd" for n in range(0, 20)] + [(30, "a", None), (31, "z", None)], "n int, k string, at timestamp_ntz")
+    par = [("a", T[2], T[5]), ("a", T[8], None), ("b", T[2], T[5]), ("b", T[5], T[7]), ("b", T[3], T[4]), ("b", T[2], T[5]), ("c", T[9], T[4]), ("c", T[10], T[12]), ("d", None, T[3]), ("d", T[5], T[5]), (None, T[1], None)]
+    got = rows(R.orphans(refs, spark.createDataFrame(par, "k string, valid_from timestamp_ntz, valid_to timestamp_ntz"), "k", "at", ["n", "k"]).select("k", "n", "reason"))
+
+    def want(k, n):
+        own = [(a or T[0], b) for x, a, b in par if x == k]
+        if any(a <= T[n] and (b is None or T[n] < b) for a, b in own):
+            return None
+        return "deleted" if any(min(a, b or a) <= T[n] for a, b in own) else "late"
+
+    assert got == sorted([(k, n, want(k, n)) for k in "abcd" for n in range(20) if want(k, n)] + [("z", 31, "missing")], key=repr)
+
+
+def test_a_hot_key_over_many_ranges(spark):
+    """One key has most references: its ranges hold no start of the interval, which is carried into them."""
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        refs = spark.range(4000).select(F.col("id").alias("n"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 70)).otherwise("hot").alias("k"), F.expr("timestamp_ntz'2025-01-01' + make_dt_interval(0, 0, 0, id % 1000)").alias("at"))
+        par = spark.sql("select 'hot' k, timestamp_ntz'2025-01-01 00:05:00' valid_from, timestamp_ntz'2025-01-01 00:10:00' valid_to union all select 'k0', null, null")
+        got = R.orphans(refs, par, "k", "at", ["n", "k"])
+        hot = "case when n % 1000 < 300 then 'late' when n % 1000 >= 600 then 'deleted' end"
+        want = refs.selectExpr("n", "k", f"case when k = 'hot' then {hot} when k <> 'k0' then 'missing' end reason").where("reason is not null")
+        a, b = got.select("n", "k", "reason"), want
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+
+
 def test_aliases(spark):
     df = spark.createDataFrame([("@/a",), ("~b",), ("c",)], "s string")
     assert [r[0] for r in df.select(V.apply_aliases(F.col("s"), [("@/", "src/"), ("~", "lib/")])).collect()] == ["src/a", "lib/b", "c"]
