@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITIES = ("high", "medium", "low")
@@ -33,6 +33,14 @@ def page(items: DataFrame, limit: int = 100, offset: int = 0, severity: str | No
     return x.limit(limit) if limit else x
 
 
+def page_with_more(items: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
+    """A page with has_more: whether there are items beyond it, which the one row more that is read says."""
+    if not limit:
+        return page(items, 0, offset, **filters).withColumn("has_more", F.lit(False))
+    rows = page(items, limit + 1, offset, **filters).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("detected_at"), "id")))
+    return rows.withColumn("has_more", F.max("_n").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
 def prioritized(items: DataFrame, n: int = 50) -> DataFrame:
     return items.where(~F.coalesce("resolved", F.lit(False))).withColumn("weight", weight(F.col("severity"))).orderBy(F.desc("weight"), F.desc("detected_at"), "id").limit(n)
 

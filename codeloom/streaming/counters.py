@@ -3,6 +3,8 @@ batch operators on the same rows."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,13 @@ def sessions(events: DataFrame, gap: str = "24 hours", late: str = "2 days") ->
     return e.groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
+def session_intervals(events: DataFrame, gap: str = "24 hours", late: str = "2 days") -> DataFrame:
+    """Sessions of each user with their first and last event."""
+    e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    g = e.groupBy(F.session_window("at", gap), "user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("n"))
+    return g.select("user_id", "started_at", "ended_at", "n")
+
+
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "2 days") -> DataFrame:
     """Each key once within the watermark."""
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark([key])
@@ -51,7 +60,7 @@ def enrich(events: DataFrame, static: DataFrame, key: str) -> DataFrame:
 def run_once(stream: DataFrame, mode: str, path: str, checkpoint: str | None = None) -> None:
     """Runs a stream over all that is there and ends. Each batch writes its own folder (batch=N), so that a batch that is
     run again after a failure overwrites itself."""
-    where = checkpoint or f"{checkpoint_dir(stream.sparkSession)}/stream-{abs(hash(path))}"
+    where = checkpoint or f"{checkpoint_dir(stream.sparkSession)}/stream-{hashlib.sha256(path.encode()).hexdigest()[:32]}"
 
     def put(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={n}")
