@@ -116,6 +116,17 @@ def glob_regex(glob: str, compat: bool = False) -> str:
     return "(?i)^" + "".join(out) + "$"
 
 
+def layer_glob_regex(glob: str) -> str:
+    """A glob of a layer as a regular expression, as sets of layers expect it: case counts, a dot is any character, and the
+    star within `**` is narrowed again, so that it stands for one directory."""
+    return "^" + glob.replace("**", ".*").replace("*", "[^/]*").replace("?", ".") + "$"
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """A share as text, for reports."""
+    return F.concat(F.format_number(share * 100, digits), F.lit("%"))
+
+
 def keyword_match(text: Column, keyword: str) -> Column:
     """A keyword with regular-expression characters that compiles is one (case aside); any other is plain text."""
     import re

@@ -22,6 +22,12 @@ def breakdown(items: DataFrame, types: list[str]) -> DataFrame:
     return dim.join(got, ["dimension", "value"], "left").select("dimension", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def severities(items: DataFrame) -> DataFrame:
+    """One row: open items of each severity."""
+    open_items = ~F.coalesce("resolved", F.lit(False))
+    return items.agg(*[F.count_if(open_items & (F.col("severity") == s)).alias(s) for s in SEVERITIES])
+
+
 def page(items: DataFrame, limit: int = 100, offset: int = 0, severity: str | None = None, kind: str | None = None, resolved: bool = False) -> DataFrame:
     """A page of items, newest first; limit 0 stands for all."""
     x = items if resolved else items.where(~F.coalesce("resolved", F.lit(False)))

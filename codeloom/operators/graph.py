@@ -33,6 +33,118 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def walk_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """seed, node, depth, path (nodes from seed to node) of all nodes within depth links of each seed: of the shortest paths
+    the smallest. A node is expanded once, by the path kept for it, so the number of paths does not matter.
+
+    The seed itself does not come out, even if a ring leads back to it. Null ends are no edges.
+    """
+    e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    frontier = cut(seeds.where("seed is not null").select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
+    parts = [frontier]
+    for _ in range(depth):
+        known = parts[0].select("seed", "node")
+        for p in parts[1:]:
+            known = known.unionByName(p.select("seed", "node"))
+        step = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("seed", "node").agg(F.min("path").alias("path"))
+        frontier = cut(step.join(known, ["seed", "node"], "left_anti"))
+        if frontier.isEmpty():
+            release(frontier)
+            break
+        parts.append(frontier)
+    release(e)
+    out = parts[1] if len(parts) > 1 else parts[0].where("false")
+    for p in parts[2:]:
+        out = out.unionByName(p)
+    return out.select("seed", "node", (F.size("path") - 1).alias("depth"), "path")
+
+
+def rings(edges: DataFrame) -> DataFrame:
+    """node, ring (its smallest node), size of all nodes that lie on a cycle of any length: strongly connected components of
+    more than one node, and nodes that point to themselves.
+
+    Nodes without a way in or out are taken off first, as long as there are any. Then each node takes the smallest node
+    that it can be reached from (its colour), and what can go back to that node within the colour is its ring; the rings
+    of all colours are taken off at once and the rest goes round again. A round is a few joins over what is left; their
+    number goes with the length of the longest way through it. Each round is written to the shared folder.
+    """
+    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("ring"))
+    e = cut(e.where("src <> dst"))
+    n = e.count()
+    found: list[DataFrame] = []
+    while n:
+        while True:  # trim
+            ends = e.select(F.col("src").alias("dst")).distinct()
+            less = cut(e.join(ends, "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+            release(e)
+            e, before, n = less, n, less.count()
+            if n == before:
+                break
+        if not n:
+            break
+        colour = _spread(e, cut(e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node"))))
+        c = colour.select(F.col("node").alias("src"), F.col("colour").alias("c1"))
+        own = e.join(c, "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
+        own = cut(own)
+        back = cut(colour.where("node = colour").select("node", "colour"))
+        frontier = back
+        while True:  # from the colour's node against the links
+            step = frontier.withColumnRenamed("node", "dst").join(own, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            frontier = cut(step.join(back, ["node", "colour"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            back = cut(back.unionByName(frontier))
+        found.append(back.select("node", F.col("colour").alias("ring")))
+        gone = back.select("node")
+        rest = cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        release(e, own)
+        e, n = rest, rest.count()
+    out = loops
+    for f in found:
+        out = out.unionByName(f)
+    out = cut(out.groupBy("node").agg(F.min("ring").alias("ring")))
+    size = out.groupBy("ring").agg(F.count("*").alias("size"))
+    looped = loops.select("node", F.lit(1).alias("loop"))
+    return out.join(size, "ring").join(looped, "node", "left").where("size > 1 or loop = 1").select("node", "ring", "size")
+
+
+def _spread(e: DataFrame, colour: DataFrame) -> DataFrame:
+    """The smallest colour that reaches each node along the links, until nothing changes."""
+    while True:
+        into = colour.select(F.col("node").alias("src"), F.col("colour").alias("c")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
+        new = colour.join(into, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("changed"))
+        new = cut(new)
+        release(colour)
+        colour = new.select("node", "colour")
+        if new.where("changed").isEmpty():
+            return colour
+
+
+def cycles_of(cycles: DataFrame) -> DataFrame:
+    """node, cycle, length: the cycles (cycle, length) in which each node lies."""
+    return cycles.select(F.explode("cycle").alias("node"), "cycle", "length")
+
+
+def nested_modules(modules: DataFrame) -> DataFrame:
+    """a, b: modules of which a lies below b (column module, paths with slashes): an equi-join of each path's beginnings."""
+    m = modules.select("module").where("module <> ''").distinct()
+    parts = F.split("module", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    a = m.where(F.size(parts) > 1).select(F.col("module").alias("a"), F.explode(above).alias("module"))
+    return a.join(m, "module").select("a", F.col("module").alias("b"))
+
+
+def dependents_by_source(imports: DataFrame, targets: DataFrame) -> DataFrame:
+    """project_id, target, dependents: how many files import each target itself or something below it, by the text of the
+    import alone. imports: project_id, file_id, source; targets: project_id, target. The condition equal or below is an
+    equi-join of the beginnings of each source, which pre-aggregates to one row a file and beginning."""
+    parts = F.split("source", "/")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    i = imports.where("source is not null and source <> ''").select("project_id", "file_id", F.explode(starts).alias("target")).distinct()
+    return i.join(targets.select("project_id", "target").distinct(), ["project_id", "target"]).groupBy("project_id", "target").agg(F.count("*").alias("dependents"))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -81,16 +193,22 @@ def mutual(edges: DataFrame) -> DataFrame:
     return e.groupBy("a", "b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
 
 
-def coupling(edges: DataFrame, module: DataFrame, abstractness: float = 0.0) -> DataFrame:
-    """Afferent and efferent coupling, instability, distance and kind of each module; module: node, module."""
+def coupling(edges: DataFrame, module: DataFrame, abstractness: DataFrame | float = 0.0) -> DataFrame:
+    """Afferent and efferent coupling, abstractness, instability, distance and kind of each module; module: node, module;
+    abstractness: one share for all, or module, abstractness (none or null: 0)."""
     m = module.select("node", "module")
     e = edges.join(m.select(F.col("node").alias("src"), F.col("module").alias("a")), "src").join(m.select(F.col("node").alias("dst"), F.col("module").alias("b")), "dst").where("a <> b").select("a", "b").distinct()
     ce = e.groupBy(F.col("a").alias("module")).agg(F.count("*").alias("ce"))
     ca = e.groupBy(F.col("b").alias("module")).agg(F.count("*").alias("ca"))
     j = m.select("module").distinct().join(ca, "module", "left").join(ce, "module", "left").na.fill(0, ["ca", "ce"])
+    if isinstance(abstractness, DataFrame):
+        j = j.join(abstractness.select("module", F.col("abstractness").alias("_a")), "module", "left")
+    else:
+        j = j.withColumn("_a", F.lit(abstractness))
+    a = F.coalesce("_a", F.lit(0.0))
     i = F.coalesce(F.try_divide(F.col("ce").cast("double"), (F.col("ca") + F.col("ce")).cast("double")), F.lit(0.0))
     kind = F.when((F.col("ca") > 5) & (F.col("ce") > 5), "god").when((F.col("ce") == 0) & (F.col("ca") > 0), "leaf").otherwise("plain")
-    return j.select("module", "ca", "ce", F.round(i, 6).alias("instability"), F.round(F.abs(i + abstractness - 1), 6).alias("distance"), kind.alias("kind"))
+    return j.select("module", "ca", "ce", F.round(i, 6).alias("instability"), F.round(F.abs(i + a - 1), 6).alias("distance"), kind.alias("kind"), *([F.round(a, 6).alias("abstractness")] if isinstance(abstractness, DataFrame) else []))
 
 
 def module_edges(edges: DataFrame, module: DataFrame) -> DataFrame:
@@ -99,11 +217,17 @@ def module_edges(edges: DataFrame, module: DataFrame) -> DataFrame:
     return j.groupBy("a", "b").agg(F.count("*").alias("links"))
 
 
-def mermaid(module_edge_rows: DataFrame) -> DataFrame:
-    """One row, text: the module graph in Mermaid notation, lines in order."""
+def mermaid_lines(module_edge_rows: DataFrame) -> DataFrame:
+    """module, line: the links from each module in Mermaid notation, a row each."""
     ident = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
     line = F.concat(F.lit("  "), ident(F.col("a")), F.lit(" -->|"), F.col("links").cast("string"), F.lit("| "), ident(F.col("b")))
-    return module_edge_rows.select(line.alias("line")).agg(F.concat_ws("\n", F.lit("graph TD"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("text"))
+    return module_edge_rows.select(F.col("a").alias("module"), line.alias("line"))
+
+
+def mermaid(module_edge_rows: DataFrame) -> DataFrame:
+    """One row, text: the module graph in Mermaid notation, lines in order. For graphs that people look at; of one too large
+    for a row take mermaid_lines."""
+    return mermaid_lines(module_edge_rows).agg(F.concat_ws("\n", F.lit("graph TD"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("text"))
 
 
 def first_layer(paths: DataFrame, layers: list[tuple[str, int, list[str]]]) -> DataFrame:

@@ -118,6 +118,26 @@ def relevance(files: DataFrame, task: str) -> DataFrame:
     return files.select("id", "project_id", "relative_path", r.alias("relevance"), F.round(r * (1 - F.least(_load(), F.lit(1.0))), 6).alias("priority"), F.ceil(_size() / 4).cast("bigint").alias("tokens"))
 
 
+#: Ways to rank files for a budget, greatest first.
+STRATEGIES = ("relevance", "diversity", "coverage", "hybrid")
+
+
+def budget_report(scored: DataFrame, budget: int, strategy: str) -> DataFrame:
+    """strategy, project_id, candidates, selected, used, utilization, recommendations of the greedy choice by a strategy."""
+    order = {"relevance": F.col("relevance"), "diversity": F.col("priority"), "coverage": F.col("tokens").cast("double"), "hybrid": F.col("relevance") * 0.6 + F.col("priority") * 0.4}[strategy]
+    chosen = context_budget(scored.withColumn("_order", order), budget, "_order").groupBy("project_id").agg(F.count("*").alias("selected"), F.max("used").alias("used"))
+    all_of = scored.groupBy("project_id").agg(F.count("*").alias("candidates"), F.bool_or(F.col("tokens") > budget * 0.5).alias("large"))
+    j = all_of.join(chosen, "project_id", "left").na.fill(0, ["selected", "used"])
+    share = F.col("used") / budget
+    notes = F.array_compact(F.array(F.when(share < 0.5, "underutilized"), F.when(share > 0.95, "exhausted"), F.when((F.col("selected") < 5) & (F.col("candidates") > 10), "few-selected"), F.when(F.col("large"), "large-files")))
+    return j.select(F.lit(strategy).alias("strategy"), "project_id", "candidates", "selected", "used", F.round(share, 4).alias("utilization"), F.array_join(notes, ",").alias("recommendations"))
+
+
+def names_meet(path: Column, name: str) -> Column:
+    """Whether one of the two is part of the other."""
+    return F.contains(path, F.lit(name)) | F.contains(F.lit(name), path)
+
+
 def context_budget(scored: DataFrame, budget: int, order: str = "priority") -> DataFrame:
     """Greedy choice within a token budget: down the ranking, what does not fit is skipped and the next is tried.
 

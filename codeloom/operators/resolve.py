@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import fold
+from ..functions.paths import dirname, fold, slashes
 from .references import IMPORT_SUFFIXES, import_targets
 
 
@@ -52,6 +52,29 @@ def apply_aliases(source: F.Column, aliases: list[tuple[str, str]]) -> F.Column:
     return out
 
 
+def with_aliases(imports: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """imports with resolved_path set to where an alias leads, for sources that begin with one and have no path yet."""
+    fits = F.lit(False)
+    for prefix, _ in aliases:
+        fits = fits | F.col("source").startswith(prefix)
+    path = F.coalesce("resolved_path", F.when(fits, apply_aliases(F.col("source"), aliases)))
+    return imports.withColumn("resolved_path", path)
+
+
+def resolve_anyhow(refs: DataFrame, states: DataFrame, aliases: list[tuple[str, str]] = []) -> DataFrame:  # noqa: B006
+    """ref_id, resolved_id, way of refs (ref_id, file_id, source): a source is tried as a path from the root of the project
+    first (`bare`), then from the directory of its file (`relative`), with all suffixes; null if neither finds a file."""
+    s = states.select(F.col("id").alias("file_id"), "project_id", F.col("relative_path").alias("_rel"))
+    r = refs.select("ref_id", "file_id", apply_aliases(F.col("source"), aliases).alias("source")).distinct().join(s, "file_id", "left")
+    ways = F.array(
+        F.struct(F.lit("bare").alias("way"), F.lit(0).alias("first"), fold(F.col("source")).alias("target")),
+        F.struct(F.lit("relative").alias("way"), F.lit(1).alias("first"), fold(F.concat_ws("/", dirname(slashes(F.col("_rel"))), F.col("source"))).alias("target")),
+    )
+    t = r.select("ref_id", "project_id", F.explode(ways).alias("w")).select("ref_id", "project_id", "w.*").where("target is not null and project_id is not null")
+    hit = t.join(candidates(states), ["project_id", "target"]).groupBy("ref_id").agg(F.min(F.struct("first", "place", "file_id", "way")).alias("best"))
+    return r.select("ref_id").distinct().join(hit, "ref_id", "left").select("ref_id", F.col("best.file_id").alias("resolved_id"), F.col("best.way").alias("way"))
+
+
 def edges(resolved: DataFrame) -> DataFrame:
     """Distinct (src, dst) of resolved imports."""
     return resolved.where("resolved_id is not null and file_id is not null").select(F.col("file_id").alias("src"), F.col("resolved_id").alias("dst")).distinct()

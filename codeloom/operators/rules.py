@@ -190,6 +190,45 @@ def test_quality(texts: DataFrame, key: str = "path") -> DataFrame:
     return t.select(key, tests.cast("bigint").alias("tests"), checks.cast("bigint").alias("assertions")).withColumn("weak", (F.col("tests") > 0) & (F.col("assertions") < F.col("tests") * 1.5))
 
 
+#: Words of a text by which its framework is told, the first that it has; and those of the kind of test.
+FRAMEWORKS = (("jest", ("jest",)), ("playwright", ("playwright",)), ("cypress", ("cypress",)), ("mocha", ("mocha",)))
+KINDS = (("e2e", ("e2e", "playwright", "cypress")), ("integration", ("integration", ".int.")), ("component", ("component",)))
+
+
+def is_test(path: Column) -> Column:
+    return F.contains(path, F.lit(".test.")) | F.contains(path, F.lit(".spec.")) | F.contains(path, F.lit("/tests/"))
+
+
+def test_kinds(texts: DataFrame, key: str = "path") -> DataFrame:
+    """key, framework (vitest if none is told), type (unit if none is told) of test files."""
+
+    def first(table, other: str) -> Column:
+        out = F.lit(other)
+        for name, words in reversed(table):
+            fits = F.lit(False)
+            for w in words:
+                fits = fits | F.contains("content", F.lit(w))
+            out = F.when(fits, name).otherwise(out)
+        return out
+
+    return texts.where(F.col("content").isNotNull() & is_test(F.col(key))).select(key, first(FRAMEWORKS, "vitest").alias("framework"), first(KINDS, "unit").alias("type"))
+
+
+def doc_tags(texts: DataFrame, key: str = "path") -> DataFrame:
+    """key, since, deprecated, doc_length of the first documentation comment of each text that has one."""
+    doc = texts.select(key, F.regexp_extract("content", r"/\*\*([\s\S]*?)\*/", 1).alias("doc")).where(F.col("doc") != "")
+    return doc.select(key, F.nullif(F.regexp_extract("doc", r"@since\s+(\S+)", 1), F.lit("")).alias("since"), F.contains("doc", F.lit("@deprecated")).alias("deprecated"), F.length("doc").cast("bigint").alias("doc_length"))
+
+
+def config_flags(texts: DataFrame, key: str = "path") -> DataFrame:
+    """key, flag, default_on of objects with a field `enabled` in files whose names speak of configuration or flags."""
+    p = r"(\w+)\s*:\s*\{[\s\S]*?enabled\s*:\s*(true|false)"
+    of = lambda n: F.regexp_extract_all("content", F.lit(p), F.lit(n))
+    named = F.contains(key, F.lit("config")) | F.contains(key, F.lit("flag")) | F.contains(key, F.lit("feature"))
+    t = texts.where(named & F.contains("content", F.lit("enabled"))).select(key, F.explode(F.arrays_zip(of(1).alias("n"), of(2).alias("v"))).alias("f"))
+    return t.select(key, F.col("f.n").alias("flag"), (F.col("f.v") == "true").alias("default_on"))
+
+
 def docs(texts: DataFrame, key: str = "path") -> DataFrame:
     """key, title: the first line of the first block comment of each text that has one."""
     title = F.trim(F.regexp_extract("content", r"/\*+[ \t]*\n?[ \t]*\*?[ \t]*([^*\n]+)", 1))

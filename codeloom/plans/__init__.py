@@ -4,7 +4,7 @@ import importlib
 
 from .registry import Registry, core
 
-MODULES = ("integrity", "reports", "graphs", "records", "texts", "analysis", "streams", "store")
+MODULES = ("integrity", "reports", "graphs", "records", "texts", "analysis", "streams", "store", "insight")
 
 
 def load() -> Registry:

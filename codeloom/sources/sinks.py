@@ -16,17 +16,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def markdown_table(df: DataFrame, order: list[str], limit: int = 1000) -> DataFrame:
-    """One row, text: the first `limit` rows (a report for people) as a Markdown table in the order given."""
+def markdown_table(df: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """One row, text: all rows, or the first `limit` of them, as a Markdown table in the order given."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    rows = df.orderBy(*order).limit(limit).select(F.struct(*order).alias("o"), cells.alias("line"))
+    rows = (df.orderBy(*order).limit(limit) if limit else df).select(F.struct(*order).alias("o"), cells.alias("line"))
     return rows.agg(F.concat_ws("\n", F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n")).alias("text"))
 
 
-def html_table(df: DataFrame, order: list[str], limit: int = 1000) -> DataFrame:
+def html_table(df: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """One row, text: all rows, or the first `limit` of them, as an HTML table in the order given."""
     cell = lambda c: F.concat(F.lit("<td>"), xml_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
-    rows = df.orderBy(*order).limit(limit).select(F.struct(*order).alias("o"), F.concat(F.lit("<tr>"), *[cell(c) for c in df.columns], F.lit("</tr>")).alias("line"))
+    rows = (df.orderBy(*order).limit(limit) if limit else df).select(F.struct(*order).alias("o"), F.concat(F.lit("<tr>"), *[cell(c) for c in df.columns], F.lit("</tr>")).alias("line"))
     head = "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n")
     return rows.agg(F.concat(F.lit(f"<table>\n{head}\n"), body, F.lit("\n</table>")).alias("text"))
