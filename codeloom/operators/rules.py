@@ -82,27 +82,36 @@ def audit(texts: DataFrame, rules=AUDIT, key: str = "path") -> DataFrame:
 
 def contracts(texts: DataFrame, rules: list[dict], key: str = "path", compat: bool = False) -> DataFrame:
     """key, contract, severity, kind, line_number of violations. A rule: id, glob, severity and any of forbidden
-    (keywords), required (text that must be there), max_lines."""
-    parts: list[DataFrame] = []
-    rows = texts.where(F.col("content").isNotNull())
+    (keywords), forbidden_imports, required (text that must be there), max_lines.
+
+    One pass whatever the number of rules: what can be told of a text as a whole is worked out first, texts without any
+    are dropped, and the lines of the rest are tried only for the rules that the text may break.
+    """
     split = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")
+    kind = lambda r, name: F.struct(F.lit(r["id"]).alias("contract"), F.lit(r.get("severity", "warning")).alias("severity"), F.lit(name).alias("kind"))
+    whole: list[tuple[Column, Column]] = []  # condition of the text, what it breaks
+    by_line: list[tuple[Column, Column, Column]] = []  # condition of the text, of the line, what the line breaks
     for r in rules:
-        own = rows.where(F.col(key).rlike(glob_regex(r["glob"], compat)))
-        head = [F.col(key), F.lit(r["id"]).alias("contract"), F.lit(r.get("severity", "warning")).alias("severity")]
+        own = F.col(key).rlike(glob_regex(r["glob"], compat))
         for k in r.get("forbidden", ()):
-            found = lines(own.where(keyword_match(F.col("content"), k)), [key])
-            parts.append(found.where(keyword_match(F.col("line"), k)).select(*head, F.lit("forbidden").alias("kind"), "line_number"))
+            by_line.append((own & keyword_match(F.col("content"), k), keyword_match(F.col("line"), k), kind(r, "forbidden")))
         for k in r.get("forbidden_imports", ()):
-            found = lines(own.where(F.contains("content", F.lit(k))), [key])
-            parts.append(found.where(F.contains("line", F.lit(k)) & F.col("line").rlike(r"import\b|require\s*\(|\bfrom\b")).select(*head, F.lit("forbidden_import").alias("kind"), "line_number"))
+            by_line.append((own & F.contains("content", F.lit(k)), F.contains("line", F.lit(k)) & F.col("line").rlike(r"import\b|require\s*\(|\bfrom\b"), kind(r, "forbidden_import")))
         for k in r.get("required", ()):
-            parts.append(own.where(~F.contains("content", F.lit(k))).select(*head, F.lit("required").alias("kind"), F.lit(None).cast("int").alias("line_number")))
+            whole.append((own & ~F.contains("content", F.lit(k)), kind(r, "required")))
         if r.get("max_lines"):
-            parts.append(own.where(F.size(split) > r["max_lines"]).select(*head, F.lit("max_lines").alias("kind"), F.lit(None).cast("int").alias("line_number")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            whole.append((own & (F.size(split) > r["max_lines"]), kind(r, "max_lines")))
+    none = F.array().cast("array<struct<contract:string,severity:string,kind:string>>")
+    flags = F.array(*[c for c, _, _ in by_line]) if by_line else F.array().cast("array<boolean>")
+    broken = F.array_compact(F.array(*[F.when(c, w) for c, w in whole])) if whole else none
+    t = texts.where(F.col("content").isNotNull() & F.col(key).isNotNull()).select(key, "content", flags.alias("_may"), broken.alias("_broken"))
+    t = t.where(F.exists("_may", lambda x: x) | (F.size("_broken") > 0))
+    # The text as a whole stands before its lines, at place 0.
+    lines_of = F.when(F.exists("_may", lambda x: x), split).otherwise(F.array().cast("array<string>"))
+    x = t.select(key, "_may", "_broken", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), lines_of)).alias("pos", "line"))
+    of_line = F.array_compact(F.array(*[F.when(F.col("_may")[n] & c, w) for n, (_, c, w) in enumerate(by_line)])) if by_line else none
+    x = x.select(key, F.nullif("pos", F.lit(0)).alias("line_number"), F.explode(F.when(F.col("pos") == 0, F.col("_broken")).otherwise(of_line)).alias("v"))
+    return x.select(key, "v.contract", "v.severity", "v.kind", "line_number")
 
 
 def coherence(texts: DataFrame, violations: DataFrame, key: str = "path") -> DataFrame:
@@ -239,10 +248,3 @@ def flag_references(flags: DataFrame, texts: DataFrame, key: str = "path") -> Da
     """flag, texts, refs: in how many texts each name stands as a word, and how often: words meet names in an equi-join."""
     words = texts.where(F.col("content").isNotNull()).select(key, F.explode(F.split("content", "[^A-Za-z0-9_]+")).alias("flag")).groupBy("flag", key).agg(F.count("*").alias("n"))
     return flags.select("flag").distinct().join(words, "flag", "left").groupBy("flag").agg(F.count(key).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("refs"))
-
-
-def any_of(columns: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in columns:
-        out = out | c
-    return out

@@ -63,6 +63,15 @@ def url_allowed(url: Column, hosts: list[str]) -> Column:
     return F.coalesce(F.startswith(F.lower(url), F.lit("https://")) & fits, F.lit(False))
 
 
+#: Hosts of the machine itself and of private networks.
+PRIVATE_HOST = r"^(?:localhost|127\.0\.0\.1|\[?::1\]?|10\..*|172\.(?:1[6-9]|2[0-9]|3[01])\..*|192\.168\..*|169\.254\..*|\[?fd[0-9a-f]{2}:.*|\[?fe80:.*)$"
+
+
+def private_url(url: Column) -> Column:
+    """Whether a URL is of this machine or of a private network; null is not."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).rlike(PRIVATE_HOST), F.lit(False))
+
+
 def major_upgrade(current: Column, wanted: Column) -> Column:
     """Whether the major version of wanted is above that of current; null if one has none."""
     major = lambda v: F.nullif(F.regexp_extract(v, r"^[\^~v]*(\d+)", 1), F.lit("")).try_cast("int")

@@ -47,6 +47,15 @@ def catalog(spark, d):
     return T.catalog(spark, d, ["files", "imports", "calls", "function_defs", "deletions"])
 
 
+_ALL = ("calls", "code_inputs", "customer", "deletions", "documents", "embeddings", "eval_items", "events", "files", "function_defs", "imports", "lineitem", "nation", "orders", "part", "projects", "region", "supplier")
+
+
+@core.add("catalog_all", " union all ".join(f"select '{n}' as name, count(*) row_count from {n}" for n in _ALL))
+def catalog_all(spark, d):
+    """All tables that the folder holds."""
+    return T.catalog(spark, d, T.tables_in(spark, d))
+
+
 @core.add("module_mermaid", f"with {_RES}, {_MODS}, g as (select x.module a, y.module b, count(*) links from ed join md x on x.node = ed.src join md y on y.node = ed.dst where starts_with(x.module, '3:') group by 1, 2), l as (select '  ' || regexp_replace(a, '[^A-Za-z0-9]', '_', 'g') || ' -->|' || links || '| ' || regexp_replace(b, '[^A-Za-z0-9]', '_', 'g') line from g) select concat_ws(chr(10), 'graph TD', (select string_agg(line, chr(10) order by line) from l)) as text")
 def module_mermaid(spark, d):
     return G.mermaid(G.module_edges(edges(spark, d), modules(spark, d)))

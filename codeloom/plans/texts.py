@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, dirname, extension, fold, module_of
 from ..functions.scalars import language_of
 from ..operators import rules as R
-from ..sources.tables import table
+from ..sources.tables import table, texts_once
 from .registry import core
 from .reports import cur
 
 
 def texts(spark, d):
-    return table(spark, d, "code_inputs").where("path is not null").groupBy("path").agg(F.max("content").alias("content"))
+    return texts_once(spark, d)
 
 
 _T = "tx as (select path, max(content) content from code_inputs where path is not null group by 1)"
@@ -94,16 +94,6 @@ def api_surface_by_kind(spark, d):
     return R.api_surface(texts(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
-_SIG = "s as (select id, name, file_id, coalesce(min(signature), '') sig from function_defs group by 1, 2, 3)"
-
-
-@core.add("api_surface_diff", f"with {_SIG}, a as (select id, name, sig from s where id % 7 <> 0), b as (select id, name, case when id % 11 = 0 then sig || ' // changed' else sig end sig from s where id % 5 <> 0), j as (select coalesce(a.id, b.id) id, coalesce(a.name, b.name) as name, case when a.id is null then 'added' when b.id is null then 'removed' when a.sig <> b.sig then 'changed' end change from a full join b on a.id = b.id and a.name = b.name) select id, name, change, change <> 'added' breaking from j where change is not null")
-def api_surface_diff(spark, d):
-    s = table(spark, d, "function_defs").groupBy("id", "name", "file_id").agg(F.coalesce(F.min("signature"), F.lit("")).alias("sig"))
-    b = s.where("id % 5 <> 0").withColumn("sig", F.when(F.col("id") % 11 == 0, F.concat("sig", F.lit(" // changed"))).otherwise(F.col("sig")))
-    return R.api_diff(s.where("id % 7 <> 0"), b, ["id", "name"], "sig")
-
-
 @core.add("unused_imports", f"with {_T}, n as (select path, content, unnest(list_distinct(regexp_extract_all(content, '(?m)^import (?:\\* as )?([A-Za-z_$][A-Za-z0-9_$]*) from', 1))) as name from tx) select path, name from n where len(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_$]+'), lambda w: w = name)) < 2")
 def unused_imports(spark, d):
     return R.unused_imports(texts(spark, d))

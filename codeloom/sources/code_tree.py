@@ -9,7 +9,8 @@ from ..functions.scalars import language_of
 
 # Suffixes that are scanned, and directories that are not.
 SCANNED = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "rb", "php", "c", "cpp", "h", "hpp")
-IGNORED = ("node_modules", "dist", "build", "out", "coverage", ".git", ".next", ".cache", "vendor", "target", "__pycache__", ".venv", "venv")
+IGNORED = ("node_modules", "dist", "dist-tests", ".git", ".next", ".turbo", "coverage", ".cache", "tmp", "temp", ".vscode", ".idea", "build", "out", "target", "__pycache__", ".venv", "venv", "vendor")
+IGNORED_NAMES = (r"\.min\.[^/]*$", r"\.map$", r"\.d\.ts$", r"(?:^|/)package-lock\.json$", r"(?:^|/)yarn\.lock$")
 
 
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
@@ -24,7 +25,7 @@ def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     rel = F.substr(path, F.lit(len(base) + 2))
     skip = "(?:^|/)(?:" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/"
     out = f.select(path.alias("path"), rel.alias("relative_path"), language_of(path).alias("language"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"), *([F.md5("content").alias("hash"), F.decode("content", "UTF-8").alias("content")] if content else []))
-    return out.where(~F.col("relative_path").rlike(skip))
+    return out.where(~F.col("relative_path").rlike("|".join((skip, *IGNORED_NAMES))))
 
 
 def changed_since(scanned: DataFrame, state: DataFrame) -> DataFrame:
@@ -57,12 +58,20 @@ def _tag(n: int, kind: str):
 
 
 def aliases(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(prefix, target) of the path aliases of a compiler configuration; a trailing star is dropped. A handful of settings."""
+    """(prefix, target) of the path aliases of a compiler configuration, with all targets of each prefix in their order; a
+    trailing star is dropped. A handful of settings."""
     import json
 
     text = "".join(r.value for r in spark.read.text(path, wholetext=True).take(1))
     paths = json.loads(text or "{}").get("compilerOptions", {}).get("paths", {})
-    return [(k.removesuffix("*"), t.removesuffix("*").removeprefix("./")) for k, ts in paths.items() for t in ts[:1]]
+    return [(k.removesuffix("*"), t.removesuffix("*").removeprefix("./")) for k, ts in paths.items() for t in ts]
+
+
+def tables_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables of a folder, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    return sorted(f.getPath().getName().removesuffix(".parquet") for f in found if f.getPath().getName().endswith(".parquet"))
 
 
 def catalog(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:

@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts_once(spark: SparkSession, folder: str, name: str = "code_inputs") -> DataFrame:
+    """path, content: one row per path, of exact copies the first by its place in the files. Null paths are left out.
+
+    The texts themselves are not moved: the places of surplus copies are found by the paths alone, and those rows are
+    dropped where they are read. A list of more places than BROADCAST_ROWS is not sent to all; then the rows are joined.
+    """
+    src = table(spark, folder, name).where("path is not null").select("path", "content", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    at = F.struct("_file", "_row")
+    twice = src.groupBy("path").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("path", "first")
+    surplus = src.select("path", "_file", "_row").join(twice, "path").where(at != F.col("first")).select("_file", "_row")
+    surplus = F.broadcast(surplus) if small(surplus) else surplus
+    return src.join(surplus, ["_file", "_row"], "left_anti").select("path", "content")
+
+
 def current_files(files: DataFrame, *columns: str) -> DataFrame:
     """One row per file id: that with the latest last_scanned (a null one counts as oldest).
 
