@@ -4,9 +4,10 @@ A text is cut into chunks at line ends at which its lexer is in code, so a comme
 each chunk is lexed as it would be within the whole. A chunk is summarised: the state it leaves (code, unless something is
 never closed), the brackets it closes and opens that have no partner inside it, and its code with comments and strings
 taken out. Summaries compose, (a + b) + c = a + (b + c), so chunks of one file may lie in any partition; a file of one
-chunk needs no shuffle at all. What is balanced is then
-parsed: brackets are folded from the inside out, and the statements that are left are matched with a local grammar of
-the language. Python texts go through the interpreter's own parser at that point.
+chunk needs no shuffle at all. What is balanced is then parsed: brackets are folded from the inside out, what stands in
+each is tried against the local rules of its language (which operators, separators and operands may meet), and the
+statements of the top level are matched with a local grammar. Balanced pieces of Python texts go to the interpreter's own
+grammar at that point.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from .codelex import OPEN, STRETCH, STRING, blank, language_of
 
 #: Characters of a chunk.
@@ -130,14 +131,81 @@ def cut_chunks(text: str, language: str, size: int = CHUNK) -> list[str]:
 # After folding: \x02 stands for (...), \x03 for [...], \x04 for {...}.
 _P, _B, _C = "\x02", "\x03", "\x04"
 _INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_MARK = {"(": _P, "[": _B, "{": _C}
 
 
-def fold(code: str) -> str:
-    """Statements of the top level, each bracket with all it holds folded into one mark."""
+# What may not stand in a bracket, whatever the statement: the order of operators, separators and operands is the same in
+# all of these languages but for a few. Fixed values by language; each is a piece of a pattern.
+_BRACED = ("typescript", "javascript", "go", "java", "rust", "cpp")
+#: Operators that need something on both sides.
+_BETWEEN = {
+    **dict.fromkeys(("typescript", "javascript"), r"===|!==|==|!=|<=(?!>)|>=|[-+*/%]=|\|\||&&|\?\?"), "go": r":=|==|!=|<=|>=|[-+*/%]=|\|\||&&", "java": r"==|!=|<=|>=|[-+*/%]=|\|\||&&",
+    "rust": r"==|!=|<=|>=|[-+*/%]=", "cpp": r"==|!=|<=(?!>)|>=|[-+/%]=|\|\|",
+}
+#: The same, with the plain assignment (which is no part of an arrow or of another operator).
+_SET = r"(?<![-+*/%=!<>&|^~:?])=(?![=>~])"
+#: Operators after which something has to follow.
+_OPEN_END = {**dict.fromkeys(("typescript", "javascript"), r"=>|(?<![+*])\+(?!\+)|(?<!-)-(?!-)|%"), "go": r"(?<!\+)\+(?!\+)|%", "java": r"(?<!\+)\+(?!\+)|(?<!-)-(?!-)|%|->", "rust": r"\+(?!=)|%|=>", "cpp": r"%"}
+#: Words that no name or value can be set with.
+_NO_NAME = {**dict.fromkeys(("typescript", "javascript"), "const|var"), "go": "var|const|func|return|if|for|switch", "java": "return|if|while|for|switch|new|class|throw|final|int|long|double|boolean|char", "rust": "let|const|static|fn|return|if|while|match", "cpp": "return|if|while|for|switch|int|double|bool|char|class|struct"}
+#: Words that go on after a number on its line.
+_AFTER_NUMBER = {**dict.fromkeys(("typescript", "javascript"), "as|in|of|instanceof|satisfies|else|if|is|extends|from|while"), "go": "", "java": "instanceof|else|extends|super", "rust": "as|if|else|in|where", "cpp": "and|or|xor|not_eq|bitand|bitor|else"}
+#: Words that begin a statement, so that the statement before them must have ended, where a semicolon ends one.
+_NEXT = {"java": "return|for|while|try|throw|switch|break|continue|if", "rust": "let|return|for|while|loop|use", "cpp": "return|for|while|switch|break|continue|throw|if"}
+
+
+def _rules(language: str) -> tuple[dict[str, re.Pattern], ...]:
+    """By kind of bracket, the pattern of what may not stand in it."""
+    both = rf"(?:{_BETWEEN[language]}|{_SET})"
+    end = rf"(?:{_BETWEEN[language]}|{_SET}|{_OPEN_END[language]})"
+    tight = rf"(?>{_BETWEEN[language]}|{_SET})[ \t\n]*(?:{_BETWEEN[language]}|=(?![=>])|%)" if language not in ("cpp",) else rf"(?>{_BETWEEN[language]}|{_SET})[ \t\n]+(?:{_BETWEEN[language]}|=(?![=>])|%)"
+    word = rf"(?<![\w.$#@&]){{0}}[ \t]*(?:{_BETWEEN[language]}|=(?![=>]))".format(f"(?:{_NO_NAME[language]})")
+    after = f"(?!(?:{_AFTER_NUMBER[language]})\\b)" if _AFTER_NUMBER[language] else ""
+    number = rf"(?<![\w.$\x01-\x04])\d[\w.]*[ \t]+{after}(?:[A-Za-z_]\w*(?![\w]*\x01)|\d)"
+    anywhere = [tight, word, number]
+    if language != "cpp":
+        anywhere.append(r"\x01[ \t]*\x01" if language != "go" else r"\x01[ \t]+\x01")
+    if language in ("typescript", "javascript", "java", "rust"):
+        anywhere.append(r"(?<!:):[ \t]*=(?![=>])")
+    round_ = [rf"^\s*,|,\s*,|^\s*{both}|,\s*{both}|{end}\s*(?:$|[,;])"]
+    curly = [rf"{end}[ \t]*[;,]", rf"^\s*{both}", rf";\s*{both}"]
+    if language in ("go", "java", "cpp"):  # no block is a value there
+        anywhere.append(rf"(?:==|!=|<=|>=|&&|\|\|{'|:=' if language == 'go' else ''})[ \t]*\x04" if language != "cpp" else r"(?:==|!=|\|\|)[ \t]*\x04")
+    square = [r"^\s*,\s*,"] if language in ("typescript", "javascript") else [r"^\s*,|,\s*,"]
+    if language in ("java", "cpp"):
+        round_.append(r",\s*$")
+    if language == "rust":
+        words = "mut|ref|dyn|impl|as|in|if|let|else|move|const|unsafe|where|for|return|box|async|await|match|loop|while|break|pub|fn|static|extern|crate|type|use"
+        round_.append(rf"(?<![\w'$.:#!])(?!(?:{words})\b)[a-z_]\w*[ \t]+(?!(?:{words})\b)[a-z_]\w*\b(?![!:])")
+    if language in _NEXT:
+        curly.append(rf"(?<![\w@#$])(?!(?:else|do|return|static|final|public|private|protected|inline|unsafe|async|default|try|virtual|constexpr|const|case|in)\b)[A-Za-z_]\w*(?:[ \t]*[\x02\x03])?[ \t]*=[ \t]*(?:[\w.]+|\x01)[ \t]*\n[ \t]*(?:{_NEXT[language]})\b")
+    make = lambda parts: re.compile("|".join(f"(?:{x})" for x in [*parts, *anywhere]))
+    return {"(": make(round_), "[": make(square), "{": make(curly), "": make([rf"{end}[ \t]*;"])}
+
+
+_RULES = {k: _rules(k) for k in _BRACED}
+_ANNOTATION = re.compile(r"@[\w.]+\s*\Z")
+
+
+def brackets_parse(code: str, language: str) -> str | None:
+    """The top level with each bracket folded, if what stands in every bracket, from the inside out, keeps to the local
+    rules of the language; None if some bracket does not."""
+    rules = _RULES[language]
+    ok = True
+
+    def one(m: re.Match) -> str:
+        nonlocal ok
+        text = m[0]
+        if len(text) > 2 and (rules[text[0]].search(text[1:-1]) or language == "java" and text[0] == "(" and text[1:-1].strip() == _C and not _ANNOTATION.search(m.string, max(0, m.start() - 200), m.start())):
+            ok = False
+        return _MARK[text[0]]
+
     while True:
-        n = _INNER.sub(lambda m: {"(": _P, "[": _B, "{": _C}[m[0][0]], code)
+        n = _INNER.sub(one, code)
+        if not ok:
+            return None
         if n == code:
-            return code
+            return None if rules[""].search(code) else code
         code = n
 
 
@@ -204,14 +272,15 @@ _RUBY_ALIEN = re.compile(
     r"^[ \t]*(?:(?:def|if|elif|while|for|else|try|except|with|class)\b[^\n]*:[ \t]*$|(?:func|fn|pub|function|export|let|var|int|void|static|import|from|const|using|#include|elif|except)\b[ \t]+[\w{\x01*]|public[ \t]+(?:class|static|final|int|void)\b|package[ \t]+[\w.]+;?[ \t]*$|\}[ \t]*else\b|<[!/a-zA-Z])|[\w)\x02\x03]\s*;\s*\n\s*\}|\bint\b[ \t]+\w+[ \t]*[=,)]|=>\s*\{\s*\n|^[ \t]*-[ \t]+\w+[ \t]+\w+[ \t]+\w+[^\n]*$",
     re.M,
 )
+_RUBY_TOGETHER = re.compile(r",[ \t]*,|(?:==|!=|<=|>=|&&)[ \t]+(?:==|!=|<=|>=|&&|\|\||=(?![=~>]))|(?<![=!<>*+\-/|&%^~?:.\]])=[ \t]+(?:==?|&&|\|\|)[ \t]|(?:==|!=|<=|>=|&&)[ \t]*\)")
 _RUBY_TAIL = re.compile(r"(?:[=+*%&|^,.<:~(\[{]|(?<!\w)-|\b(?:def|class|module|and|or|not|unless|if|while|until|elsif|when|in))\s*\Z")
 
 
-def _cpp(code: str) -> bool:
+def _cpp(code: str, top: str) -> bool:
     words = {m[1] for m in _DIRECTIVE.finditer(code)}
     if words - _DIRECTIVES:
         return False
-    code = fold(_DIRECTIVE.sub("", code)).replace(_C + ",", _C + ";") if "#" in code else fold(code)
+    code = top.replace(_C + ",", _C + ";") if "#" in code else top
     at, end, block = 0, len(code.rstrip()), False
     while at < end:
         m = _CPP_ITEM.match(code, at)
@@ -237,7 +306,7 @@ def _ruby(code: str) -> bool:
     # Only what precedes __END__ is code.
     code = re.split(r"^__END__$", code, maxsplit=1, flags=re.M)[0]
     flat = fold_round(code)
-    if _RUBY_ALIEN.search(flat) or _RUBY_TAIL.search(flat):
+    if _RUBY_ALIEN.search(flat) or _RUBY_TAIL.search(flat) or _RUBY_TOGETHER.search(code):
         return False
     depth = 0
     events = [(m.start(1), 1) for m in _RUBY_OPEN.finditer(code)] + [(m.start(), 1) for m in _RUBY_DO.finditer(code)] + [(m.start(), -1) for m in _RUBY_END.finditer(code)]
@@ -257,7 +326,7 @@ def fold_round(code: str) -> str:
     return _ROUND.sub(lambda m: _P + "\n" * m[0].count("\n"), code)
 
 
-def _js(code: str) -> bool:
+def _js(code: str, top: str) -> bool:
     if m := _JS_ALIEN.search(code):
         line = code[code.rfind("\n", 0, m.end() - 1) + 1 :]
         if not m[0].strip().startswith("{") or not code[: m.start()].strip():
@@ -266,7 +335,6 @@ def _js(code: str) -> bool:
                     return False
     if _JS_ADJACENT.search(code):
         return False
-    top = fold(code)
     if _JS_HEAD_NO_BODY.search(top) or _JS_OPEN_FROM.search(top):
         return False
     tail = re.split(rf"[;{_C}](?=\s)|\n(?=[ \t]*\n)", top.rstrip() + "\n")[-1].strip()
@@ -279,11 +347,40 @@ def _js(code: str) -> bool:
     return bool(_JS_TAIL.fullmatch(lines[-1].strip())) or len(lines) > 1 and bool(_JS_TAIL.fullmatch(tail))
 
 
-def python_parses(text: str) -> bool:
+_PY_TOP = re.compile(r"^(?!(?:else|elif|except|finally)\b)[^\s#)\]}]", re.M)
+
+
+def python_parses(text: str, chunk: int = CHUNK) -> bool:
+    """Whether a text is Python: its brackets balance, and each of its pieces is a sequence of statements to the interpreter's
+    own grammar. Pieces end where a statement of the top level begins, so each is parsed by itself. Where the brackets do
+    not balance (or seem not to, as in some strings within strings) the grammar is asked about the text as a whole."""
+    text = text.removeprefix("\ufeff")
+    if len(text) <= chunk:
+        return _python(text)
+    code = blank(text.replace("\r\n", "\n").replace("\r", "\n"), "python")
+    closers, openers, bad = reduce_brackets(code)
+    if closers or openers or bad or OPEN["python"].search(code):
+        return _python(text)
+    lines, code_lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), code.split("\n")
+    if len(lines) != len(code_lines):
+        return _python(text)
+    pieces, begin, size, depth, joined = [], 0, 0, 0, False
+    for n, (line, bare) in enumerate(zip(lines, code_lines)):
+        if size >= chunk and depth == 0 and not joined and _PY_TOP.match(bare):
+            pieces.append("\n".join(lines[begin:n]) + "\n")
+            begin, size = n, 0
+        size += len(line) + 1
+        depth += sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}"))
+        joined = bare.rstrip().endswith("\\") or bare.startswith("@")
+    pieces.append("\n".join(lines[begin:]))
+    return all(map(_python, pieces))
+
+
+def _python(text: str) -> bool:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
+            ast.parse(text)
         return True
     except (SyntaxError, ValueError):
         return False
@@ -297,23 +394,27 @@ def statements_parse(code: str, language: str) -> bool:
         return True
     if _CONFLICT.search(code) or _QUOTES.search(code):
         return False
+    if language == "ruby":
+        return _ruby(code)
+    # A backslash goes on with a line; what a directive says is no code.
+    top = brackets_parse(_DIRECTIVE.sub("", code) if language == "cpp" else code, language)
+    if top is None:
+        return False
     if language == "go":
-        return bool(_GO.fullmatch(fold(code)))
+        return bool(_GO.fullmatch(top))
     if language == "java":
-        return bool(_JAVA.fullmatch(fold(code)))
+        return bool(_JAVA.fullmatch(top))
     if language == "rust":
-        return bool(_RUST.fullmatch(fold(code)))
+        return bool(_RUST.fullmatch(top))
     if language == "cpp":
-        return _cpp(code)
-    if language == "ruby":
-        return _ruby(code)
-    return _js(code) and not (language == "javascript" and _TYPES.search(code))
+        return _cpp(code, top)
+    return _js(code, top) and not (language == "javascript" and _TYPES.search(code))
 
 
 def parses(text: str, language: str, chunk: int = CHUNK) -> bool:
     """Whether a text is a file of its language; an empty one is."""
     if language == "python":
-        return python_parses(text)
+        return python_parses(text, chunk)
     total = ("", "", "", False, "")
     for part in cut_chunks(prepare(text, language), language, chunk):
         total = compose(total, summarise(part, "", language))
@@ -324,58 +425,70 @@ def parses(text: str, language: str, chunk: int = CHUNK) -> bool:
 
 # ---------------------------------------------------------------- on tables
 
-_PIECES = "file_id bigint, language string, n int, state string, closers string, openers string, error boolean, code string"
+_PIECES = "path string, language string, n int, state string, closers string, openers string, error boolean, code string"
+#: Summaries of a file that one task puts together; the results of those go on in the same way.
+FAN = 16
 
 
-def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """file_id, project_id, language, broken: every file with a text whose extension stands for a known language.
+def verdicts(inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """path, language, broken of every text whose extension stands for a known language; inputs: path, content.
 
-    files: id, project_id, path (current rows); inputs: path, content. Null contents are no texts, empty ones are valid.
-    Copies of an input row count once. Files of one chunk and Python files are decided where they are read; chunks of
-    longer ones are summarised wherever they land and put together by file.
+    Texts are parsed where they are read and never moved: only their verdicts are. Chunks of long ones are summarised
+    wherever they land; summaries are composed FAN neighbours at a time, and the last composition is parsed.
     """
-    texts = spread(inputs.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content")).groupBy("path").agg(F.max("content").alias("content"))
-    # Only the names are joined with the texts: the file rows are the small side.
-    j = files.where(F.col("path").isNotNull()).select("id", "project_id", "path").join(texts, "path")
+    texts = spread(inputs.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs = [language_of(p) for p in b.column(2).to_pylist()]
-            broken, long = [], []
-            for lang, t in zip(langs, b.column(3).to_pylist()):
-                if lang is None:
-                    broken.append(None)
-                    long.append(None)
-                elif lang == "python" or len(t) <= chunk:
-                    broken.append(not parses(t, lang, chunk))
-                    long.append(None)
-                else:
-                    broken.append(None)
-                    long.append(cut_chunks(prepare(t, lang), lang, chunk))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(broken, pa.bool_()), pa.array(long, pa.list_(pa.string()))], ["file_id", "project_id", "language", "broken", "chunks"])
-
-    first = j.select("id", "project_id", "path", "content").mapInArrow(run, "file_id bigint, project_id bigint, language string, broken boolean, chunks array<string>")
-    if inputs.where(F.length("content") > chunk).limit(1).count() == 0:
-        return first.where("broken is not null").drop("chunks")
+            rows = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                language = language_of(path)
+                if language == "python" or language and len(text) <= chunk:
+                    rows.append((path, language, not parses(text, language, chunk), None))
+                elif language:
+                    rows.append((path, language, None, cut_chunks(prepare(text, language), language, chunk)))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())))], ["path", "language", "broken", "chunks"])
+
+    first = cut(texts.mapInArrow(run, "path string, language string, broken boolean, chunks array<string>"))
+    short = first.where("broken is not null").select("path", "language", "broken")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(f, lang, n, *summarise(text, "", lang)) for f, lang, n, text in zip(*(b.column(i).to_pylist() for i in range(4)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()])], [x.split()[0] for x in _PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()])], [x.split()[0] for x in _PIECES.split(", ")])
 
-    def join(t: pa.Table) -> pa.Table:
+    def together(t: pa.Table) -> tuple[dict, tuple[str, str, str, bool, str]]:
         rows = t.sort_by([("n", "ascending")]).to_pylist()
         by = {r["n"]: (r["state"], r["closers"], r["openers"], r["error"] or r["state"] != "", r["code"]) for r in rows}
         total = ("", "", "", False, "")
         for n in sorted(by):
             total = compose(total, by[n])
-        ok = not total[3] and not total[1] and not total[2] and statements_parse(total[4], rows[0]["language"])
-        return pa.table({"file_id": pa.array([rows[0]["file_id"]], pa.int64()), "bad": pa.array([not ok])})
+        return rows[0], total
+
+    def neighbours(t: pa.Table) -> pa.Table:
+        row, (state, closers, openers, error, code) = together(t)
+        return pa.table({"path": [row["path"]], "language": [row["language"]], "n": pa.array([row["n"] // FAN], pa.int32()), "state": [state], "closers": [closers], "openers": [openers], "error": [error], "code": [code]})
+
+    def verdict(t: pa.Table) -> pa.Table:
+        row, (_, closers, openers, error, code) = together(t)
+        return pa.table({"path": [row["path"]], "language": [row["language"]], "broken": [error or closers != "" or openers != "" or not statements_parse(code, row["language"])]})
 
-    apart = first.where("chunks is not null").select("file_id", "language", F.posexplode("chunks").alias("n", "text"))
-    parts = apart.repartition("file_id", "n").mapInArrow(pieces, _PIECES)
-    verdicts = parts.groupBy("file_id").applyInArrow(join, "file_id bigint, bad boolean")
-    return first.join(verdicts, "file_id", "left").select("file_id", "project_id", "language", F.coalesce("broken", "bad").alias("broken")).where("broken is not null")
+    # Copies of a long text are summarised once.
+    apart = first.where("chunks is not null").dropDuplicates(["path"]).select("path", "language", F.posexplode("chunks").alias("n", "text"))
+    parts = apart.repartition("path", "n").mapInArrow(pieces, _PIECES)
+    parts = parts.groupBy("path", F.floor(F.col("n") / FAN).alias("part")).applyInArrow(neighbours, _PIECES)
+    return short.unionByName(parts.groupBy("path").applyInArrow(verdict, "path string, language string, broken boolean"))
+
+
+def check(files: DataFrame, inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """file_id, project_id, language, broken: every file with a text whose extension stands for a known language.
+
+    files: id, project_id, path (current rows); inputs: path, content. Null contents are no texts, empty ones are valid.
+    Copies of an input row count once; of differing texts of a path any broken one makes the file broken.
+    """
+    v = verdicts(inputs, chunk).groupBy("path").agg(F.max("language").alias("language"), F.max("broken").alias("broken"))
+    return files.where(F.col("path").isNotNull()).select(F.col("id").cast("bigint").alias("file_id"), F.col("project_id").cast("bigint").alias("project_id"), "path").join(v, "path").drop("path").select("file_id", "project_id", "language", "broken")
 
 
 def rates(checked: DataFrame) -> DataFrame:
