@@ -1,11 +1,12 @@
 """Generated, minified, vendored and data files.
 
-Each file is lexed once: comments and strings become single marks, and from what is left the canonical layout is
-counted (a line for every statement and block, each on its own line). Compared with the layout that the file has,
-- an extreme expansion marks minified text,
-- lines that repeat a few shapes only are the mark of a tool (uniformity),
+Each file is lexed: comments and strings become single marks, and what is left is emitted again in the canonical layout, a
+line for every statement, head and end of a block. Compared with the layout that the file has,
+- an extreme expansion marks squeezed text, in whatever language,
+- a canonical text that is the same block over and over, but for names and numbers, was written by a tool,
 - a file in which literals outweigh everything else carries data.
-Notices in comments, at any place of the text, and the place and name of the file decide about tools and third-party copies.
+Notices in comments, at any place of the text, and the place and name of the file are evidence of their own: the problem
+is stated by them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .codelex import STRETCH, STRING, language_of
+from .codelex import LANGUAGE, STRETCH, STRING, language_of
 
 # Segments of directories and forms of names.
 GENERATED_DIRS = ("gen", "generated", "__generated__", "_generated", "autogen", "autogenerated", "auto_generated", "generated-sources", "build")
@@ -47,13 +48,75 @@ FOREIGN_NOTICE = re.compile(
 
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _NUMBER = re.compile(r"(?<![\w.])-?\d[\w.]*")
-_BREAK = re.compile(r"[;{}]")
 _IMPORT = re.compile(r"^\s*(?:(?:import|export|from|require|require_relative|use)\b[^\n]*\x01|[\w\s.=,{}*]*\brequire\(\x01\)|\x01$|\}\s*from\s*\x01)", re.M)
 
 
-def measures(text: str, language: str) -> dict[str, float]:
-    """expansion: lines of the canonical layout per line that is there; longest and mean line; uniformity: share of lines
-    that repeat a shape seen before; literal: share of the characters that are literals (with what separates them)."""
+_ROUND = re.compile(r"\([^(){}]*\)")
+_CUT = re.compile(r"([;{}])")
+_SPACES = re.compile(r"\s+")
+#: Languages whose statements and blocks end with marks; in the others lines do it.
+_MARKED = ("typescript", "javascript", "go", "java", "rust", "cpp")
+
+
+def canonical(code: str, language: str) -> list[tuple[int, str]]:
+    """The code, lexed, as its canonical layout: (depth, text) of each line, one statement, head of a block or end of a block
+    a line, blanks folded. Round brackets stay together."""
+    if language not in _MARKED:
+        rows = [x for x in code.split("\n") if x.strip()]
+        return [(len(x) - len(x.lstrip()), _SPACES.sub(" ", x.strip())) for x in rows]
+    while True:
+        n = _ROUND.sub(lambda m: "\x02" + m[0][1:-1].replace(";", ",") + "\x03", code)
+        if n == code:
+            break
+        code = n
+    out: list[tuple[int, str]] = []
+    depth = 0
+    for line in code.split("\n"):
+        if not line or line.isspace():
+            continue
+        parts = _CUT.split(line)
+        for text, end in zip(parts[::2], [*parts[1::2], ""]):
+            text = _SPACES.sub(" ", text.strip())
+            if end == "}":
+                if text:
+                    out.append((depth, text))
+                depth = max(0, depth - 1)
+                out.append((depth, "}"))
+            elif text or end == "{":
+                out.append((depth, text + end))
+                depth += end == "{"
+            elif end == ";" and out:
+                out[-1] = (out[-1][0], out[-1][1] + ";")
+    return out
+
+
+def _repeated(lines: list[tuple[int, str]]) -> tuple[float, int]:
+    """(share, number) of the blocks of the most frequent shape, by lines, among all lines: blocks of several lines that
+    begin at one depth, at the depth where it is most. A shape has words and numbers alike."""
+    best = (0.0, 0)
+    shapes = [(d, _WORD.sub("w", _NUMBER.sub("0", x))) for d, x in lines]
+    for level in sorted({d for d, _ in shapes})[:2]:
+        blocks: dict[tuple[str, ...], int] = {}
+        block: list[str] = []
+        for d, x in shapes:
+            if d == level and not x.startswith("}"):
+                if len(block) > 2:
+                    blocks[tuple(block)] = blocks.get(tuple(block), 0) + 1
+                block = []
+            if d >= level:
+                block.append(x)
+        if len(block) > 2:
+            blocks[tuple(block)] = blocks.get(tuple(block), 0) + 1
+        if blocks:
+            shape, n = max(blocks.items(), key=lambda b: len(b[0]) * b[1])
+            best = max(best, (len(shape) * n / len(shapes), n))
+    return best
+
+
+def measures(text: str, language: str) -> dict[str, float | str]:
+    """The layout of a text against its canonical one. expansion: lines of the canonical layout per line that is there;
+    longest and mean line; uniformity: share of lines in blocks of one shape, and blocks: how many; literal: share of the
+    characters that are literals (with what separates them); comment: all comments."""
     comments, strings = [], 0
 
     def mark(m: re.Match) -> str:
@@ -68,18 +131,19 @@ def measures(text: str, language: str) -> dict[str, float]:
     code = STRETCH[language].sub(mark, text)
     lines = [x for x in map(str.strip, code.split("\n")) if x]
     if not lines:
-        return {"expansion": 0.0, "longest": 0.0, "mean": 0.0, "uniformity": 0.0, "literal": 0.0, "lines": 0, "comment": "\n".join(comments)}
+        return {"expansion": 0.0, "longest": 0.0, "mean": 0.0, "uniformity": 0.0, "blocks": 0, "literal": 0.0, "lines": 0, "comment": "\n".join(comments)}
     size = sum(map(len, lines)) + strings
     numbers = sum(map(len, _NUMBER.findall(code)))
-    shapes = _WORD.sub("w", _NUMBER.sub("0", code)).split("\n")
-    shapes = [s for s in map(str.strip, shapes) if s]
     n = len(lines)
+    layout = canonical(code, language)
+    uniformity, blocks = _repeated(layout) if len(layout) >= UNIFORM_LINES else (0.0, 0)
     separators = code.count(",") + code.count(STRING)
     return {
-        "expansion": (len(_BREAK.findall(code)) + n) / n,
+        "expansion": len(layout) / n,
         "longest": float(max(map(len, lines))),
         "mean": size / n,
-        "uniformity": 1 - len(set(shapes)) / n,
+        "uniformity": uniformity,
+        "blocks": blocks,
         # The names in imports are no data.
         "literal": 0.0 if 2 * len(_IMPORT.findall(code)) > n and "[" not in code else min(1.0, (strings + numbers + separators) / max(1, size)),
         "lines": n,
@@ -87,34 +151,49 @@ def measures(text: str, language: str) -> dict[str, float]:
     }
 
 
-def kinds(path: str, text: str | None) -> list[str]:
-    """Kinds of a file that is not hand-written source, out of generated, minified, vendored and data; empty otherwise."""
-    p = (path or "").replace("\\", "/")
+#: Squeezed: the canonical layout has this many times the lines, and lines are this long in the mean or at the longest.
+SQUEEZED, SQUEEZED_MEAN, SQUEEZED_LONGEST = 5.0, 110, 400
+#: Written by a tool: this share of the canonical lines are blocks of one shape, at least so many lines and blocks of it.
+UNIFORM, UNIFORM_LINES, UNIFORM_BLOCKS = 0.9, 60, 20
+
+
+#: A file carries only data if literals and what separates them make up this share of it, from this size on.
+DATA_SHARE, DATA_LEAST = 0.8, 200
+KINDS = ("generated", "vendored", "minified", "data")
+
+
+def _below(names: tuple[str, ...]) -> str:
+    return "(?:^|/)(?:" + "|".join(names) + ")/"
+
+
+#: What the place and name of a file (with slashes) say, whatever its letters' case.
+PLACES = {"generated": f"(?i)(?:{GENERATED_NAME}|{_below(GENERATED_DIRS)})", "vendored": f"(?i){_below(VENDOR_DIRS)}", "minified": f"(?i){MINIFIED_NAME}"}
+_PLACES = {k: re.compile(p) for k, p in PLACES.items()}
+
+
+def text_kinds(text: str | None, language: str | None) -> list[str]:
+    """What a text says of itself: by its layout against the canonical one, and by notices in its comments."""
+    if not text or not language:
+        return []
+    m = measures(text, language)
+    notes = [x for x in map(str.strip, m["comment"].split("\n")) if x]
     out = []
-    dirs = [x.lower() for x in p.split("/")[:-1]]
-    if re.search(GENERATED_NAME, p, re.I) or any(x in GENERATED_DIRS for x in dirs):
+    if m["uniformity"] >= UNIFORM and m["blocks"] >= UNIFORM_BLOCKS or any(TOOL_NOTICE.search(x) and not ABOUT.search(x) for x in notes):
         out.append("generated")
-    if any(x in VENDOR_DIRS for x in dirs):
+    if any(FOREIGN_NOTICE.search(x) and not ABOUT.search(x) for x in notes):
         out.append("vendored")
-    if re.search(MINIFIED_NAME, p, re.I):
+    if m["expansion"] >= SQUEEZED and (m["mean"] >= SQUEEZED_MEAN or m["longest"] >= SQUEEZED_LONGEST):
         out.append("minified")
-    language = language_of(p)
-    if text and language:
-        m = measures(text, language)
-        notes = [x for x in map(str.strip, m["comment"].split("\n")) if x]
-        if "generated" not in out and any(TOOL_NOTICE.search(x) and not ABOUT.search(x) for x in notes):
-            out.append("generated")
-        if "vendored" not in out and any(FOREIGN_NOTICE.search(x) and not ABOUT.search(x) for x in notes):
-            out.append("vendored")
-        if "minified" not in out and language in ("javascript", "typescript") and m["expansion"] >= 6 and (m["mean"] >= 110 or m["longest"] >= 400):
-            out.append("minified")
-        if m["literal"] >= DATA_SHARE and len(text) >= DATA_LEAST:
-            out.append("data")
+    if m["literal"] >= DATA_SHARE and len(text) >= DATA_LEAST:
+        out.append("data")
     return out
 
 
-#: A file carries only data if literals and what separates them make up this share of it, from this size on.
-DATA_SHARE, DATA_LEAST = 0.8, 200
+def kinds(path: str, text: str | None) -> list[str]:
+    """Kinds of one file that is not hand-written source, in the order of KINDS; empty for any other."""
+    p = (path or "").replace("\\", "/")
+    told = text_kinds(text, language_of(p))
+    return [k for k in KINDS if k in told or k in _PLACES and _PLACES[k].search(p)]
 
 
 def classify(files: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -122,15 +201,22 @@ def classify(files: DataFrame, inputs: DataFrame) -> DataFrame:
 
     files: id, path, relative_path; inputs: path, content. Names are judged below the project (relative_path). A file
     without a text, or with a null or empty one, is judged by its place alone; one without a path not at all. Copies of
-    an input row count once. Texts are read whole.
+    an input row count once; differing texts of a path count together. Texts are read whole, where they are: they are not
+    moved, only what is found in them is.
     """
-    texts = spread(inputs.where(F.col("path").isNotNull()).select("path", "content")).groupBy("path").agg(F.max("content").alias("content"))
-    j = files.where(F.col("path").isNotNull()).select("id", "path", F.coalesce("relative_path", "path").alias("rel")).join(texts, "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [kinds(r, t) for r, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            lang = [language_of(r) for r in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(got, pa.list_(pa.string()))], ["file_id", "path", "language", "kinds"])
-
-    return j.select("id", "rel", "content").mapInArrow(run, "file_id bigint, path string, language string, kinds array<string>").where(F.size("kinds") > 0)
+            got = [text_kinds(t, language_of(p)) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            some = [i for i, k in enumerate(got) if k]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int32())), pa.array([got[i] for i in some], pa.list_(pa.string()))], ["path", "told"])
+
+    texts = spread(inputs.where(F.col("path").isNotNull() & (F.length("content") > 0)).select("path", "content")).mapInArrow(run, "path string, told array<string>")
+    told = texts.select("path", F.explode("told").alias("k")).groupBy("path").agg(F.collect_set("k").alias("told"))
+    rel = F.coalesce("relative_path", "path")
+    j = files.where(F.col("path").isNotNull()).select(F.col("id").cast("bigint").alias("file_id"), rel.alias("rel"), "path").join(told, "path", "left")
+    placed = F.translate("rel", "\\", "/")
+    is_told = lambda k: F.coalesce(F.array_contains("told", k), F.lit(False))
+    every = F.array_compact(F.array(*[F.when(is_told(k) | (placed.rlike(PLACES[k]) if k in PLACES else F.lit(False)), k) for k in KINDS]))
+    language = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE.items() for x in kv]), F.lower(F.substring_index("rel", ".", -1)))
+    return j.select("file_id", F.col("rel").alias("path"), language.alias("language"), every.alias("kinds")).where(F.size("kinds") > 0)

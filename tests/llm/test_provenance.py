@@ -62,6 +62,27 @@ def test_late_remarks_are_no_notices(remark):
     assert P.kinds("src/a.ts", LONG + HAND + f"// {remark}\n" + HAND) == []
 
 
+GETTERS = "package a\n\n" + "".join(f"func (x *T) GetField{i}() int {{\n\tif x == nil {{\n\t\treturn {i}\n\t}}\n\treturn x.field{i}\n}}\n\n" for i in range(300))
+ONE_LINE = "public class A {" + "".join(f" public int get{i}() {{ int a = {i}; return a; }}" for i in range(200)) + " }"
+VARIED = "package a\n\n" + "".join(f"func step{i}() int {{\n" + "\tx := 1\n" * (i % 7 + 1) + "\treturn x\n}\n\n" for i in range(60))
+
+
+def test_uniform_blocks_were_written_by_a_tool():
+    assert P.kinds("src/a.go", GETTERS) == ["generated"]
+    assert P.kinds("src/a.go", VARIED) == []
+    m = P.measures(GETTERS, "go")
+    assert m["uniformity"] > 0.99 and m["blocks"] == 300
+
+
+def test_squeezed_text_of_any_language():
+    assert "minified" in P.kinds("src/A.java", ONE_LINE)
+    assert P.kinds("src/A.java", "public class A {\n" + "  int a;\n" * 5 + "}\n") == []
+
+
+def test_canonical_layout():
+    assert P.canonical("if (a;b) { x  =  1; y }\nelse\n{\n}", "javascript") == [(0, "if \x02a,b\x03{"), (1, "x = 1;"), (1, "y"), (0, "}"), (0, "else"), (0, "{"), (0, "}")]
+
+
 def test_tables(spark, rows):
     files = [(i, f"/r/{p}" if p else None, p, "clash") for i, (p, _, _) in enumerate(CASES)]
     seen, inputs = set(), []
