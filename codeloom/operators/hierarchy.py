@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut, release
+from ..session import cut, read_cuts, release
 
 
 def _resolve(top: DataFrame, active: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame, int]:
@@ -21,14 +21,15 @@ def _resolve(top: DataFrame, active: DataFrame, with_path: bool) -> tuple[DataFr
 
     A round joins only the rows that still climb; each resolved row is written once and never again.
     """
-    done, active = [cut(top)], cut(active)
-    left = active.count()
+    climbs = Observation()
+    written = [cut(top)]
+    active = cut(active.observe(climbs, F.count("*").alias("left")))
+    left = climbs.get["left"]
     while left:
         cols = [F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), F.col("low").alias("low2"), *([F.col("seg").alias("seg2")] if with_path else [])]
-        a = active.select(*cols)
-        for part in done:
-            a = a.unionByName(part.select(*cols))
-        moved = active.join(a, "anc").select(
+        # All that is done and all that climbs, as one scan.
+        a = read_cuts(*written).where("done").unionByName(active.where("not done")).select(*cols)
+        moved = active.where("not done").join(a, "anc").select(
             "node",
             F.col("anc2").alias("anc"),
             (F.col("dist") + F.col("d2")).alias("dist"),
@@ -36,18 +37,16 @@ def _resolve(top: DataFrame, active: DataFrame, with_path: bool) -> tuple[DataFr
             F.least("low", "low2").alias("low"),
             *([F.concat("seg2", "seg").alias("seg")] if with_path else []),
         )
-        both = cut(moved)
-        release(active)
-        done.append(both.where("done"))
-        active = both.where(~F.col("done"))
-        now = active.count()
+        climbs = Observation()
+        both = cut(moved.observe(climbs, F.count_if(~F.col("done")).alias("left")))
+        if not any(active is w for w in written):
+            release(active)
+        written.append(both)
+        active, now = both, climbs.get["left"]
         if now == left:
             break
         left = now
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out, active, left
+    return read_cuts(*written).where("done"), active.where("not done"), left
 
 
 def link_hierarchies(links: DataFrame, parent: str, child: str, with_path: bool = True) -> DataFrame:
