@@ -67,7 +67,8 @@ co as (select t.path, (case when n > 400 then 1 else 0 end) + (case when im > 20
 
 @core.add("coherence_fast", f"with {_COH} select path, cast(issues as bigint) issues, case when f or issues > 2 then 'fail' when issues = 0 then 'pass' else 'warn' end verdict, cast(round(greatest(0.3, 0.9 - issues * 0.15), 4) as double) confidence from co")
 def coherence_fast(spark, d):
-    return R.coherence(texts(spark, d), R.contracts(texts(spark, d), CONTRACTS))
+    t = texts(spark, d)
+    return R.coherence(t, R.contracts(t, CONTRACTS))
 
 
 @core.add("verdict_tally", f"with {_COH} select case when f or issues > 2 then 'fail' when issues = 0 then 'pass' else 'warn' end verdict, count(*) n from co group by 1")

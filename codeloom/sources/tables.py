@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import small, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +23,10 @@ def texts_once(spark: SparkSession, folder: str, name: str = "code_inputs") -> D
     twice = src.groupBy("path").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("path", "first")
     surplus = src.select("path", "_file", "_row").join(twice, "path").where(at != F.col("first")).select("_file", "_row")
     surplus = F.broadcast(surplus) if small(surplus) else surplus
-    return src.join(surplus, ["_file", "_row"], "left_anti").select("path", "content")
+    kept = spread(src).join(surplus, ["_file", "_row"], "left_anti")
+    # Conditions on texts do not pass a generator: else they would be tried before the rows are spread, where a table of one
+    # file is read by one task.
+    return kept.select(F.explode(F.array(F.struct("path", "content"))).alias("r")).select("r.path", "r.content")
 
 
 def current_files(files: DataFrame, *columns: str) -> DataFrame:
