@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Queries that are sent to the workers at once.
 BLOCK = 4096
 
 
-
-
 def nearest(queries: DataFrame, rows: DataFrame, id_column: str, vector: str, k: int = 10, threshold: float = 0.7, strict: bool = False) -> DataFrame:
     """id, neighbour, score (rounded to six decimals): the k best other rows for each query with a score of at least
     (strict: above) the threshold, ties to the smaller id.
@@ -64,7 +64,11 @@ def nearest(queries: DataFrame, rows: DataFrame, id_column: str, vector: str, k:
                     away = a != c
                     yield pa.RecordBatch.from_pydict({"id": pa.array(a[away]), "neighbour": pa.array(c[away]), "score": pa.array(s[away])})
 
-        got = r.mapInArrow(search, "id bigint, neighbour bigint, score double")
+        # A query is in one block, so what is best of a block is best of all.
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
+        got = r.mapInArrow(search, "id bigint, neighbour bigint, score double").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+        if blocks > 1:  # one block after the other, so that one broadcast is held at a time
+            got = cut(got)
+            sent.unpersist()
         out = got if out is None else out.unionByName(got)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return out

@@ -53,6 +53,12 @@ def p3_subtree_sizes(spark, d):
     return H.descendant_counts(h).select(F.col("node").alias("function_id"), "descendants", "height")
 
 
+@core.add("p3_multiple_parents", f"with recursive {_EDGES} select c function_id, count(*) parents, min(p) kept from e group by 1 having count(*) > 1")
+def p3_multiple_parents(spark, d):
+    """Functions with several callers: of those only the smallest is followed."""
+    return H.multiple_parents(_edges(spark, d), "from_function_id", "to_function_id").select(F.col("node").alias("function_id"), "parents", "kept")
+
+
 _FOLD = """list_reduce(list_prepend('', list_filter(string_split(replace({0}, '\\', '/'), '/'), lambda x: x <> '' and x <> '.')),
   lambda a, x: case when x = '..' then case when a = '' then '?out' else regexp_replace(a, '/?[^/]*$', '') end when a = '' then x else a || '/' || x end)"""
 

@@ -156,3 +156,16 @@ def test_kinds_tags_and_flags(spark, rows):
     assert rows(R.test_kinds(t)) == [("x.test.ts", "jest", "e2e"), ("y/tests/a.ts", "vitest", "unit")]
     assert rows(R.doc_tags(t).drop("doc_length")) == [("feature.ts", "1.2", True)]
     assert rows(R.config_flags(t)) == [("feature.ts", "dark", True), ("feature.ts", "light", False)]
+
+
+def test_declarations_by_lexing():
+    from codeloom.operators import structure as P
+
+    ts = "import a from 'b';\n// function no() {}\nexport async function f({ x }: P, y = {}) {\n  // if while &&\n  const s = 'if (a && b)';\n  if (x && y) { return x ? 1 : 2; }\n}\n\nexport class K {\n  m() { if (a) {} }\n}\nconst z = `function q() {}`;\n"
+    assert [(k, n, a, b, c) for k, n, a, b, _, _, c in P.nodes_of("a.ts", ts)] == [("import", "b", 1, 1, 1), ("function", "f", 3, 7, 4), ("class", "K", 9, 11, 1)]
+    java = "package a;\nimport b.C;\npublic class A<T> {\n\tpublic static <T> List<Map<T, int[]>> go(final int a, T b) throws E {\n    for (;;) { if (a > 1 || b) return null; }\n  }\n private A(int x) {\n  }\n  void h() { return new B(); }\n}\n"
+    assert [(k, n, c) for k, n, *_, c in P.nodes_of("A.java", java)] == [("import", "b.C", 1), ("class", "A", 1), ("function", "go", 4), ("function", "A", 1), ("function", "h", 1)]
+    cs = "using System.Text;\npublic sealed class A {\n  public async Task<int> Go(int a) {\n    return a > 1 ? 2 : 3;\n  }\n}\n"
+    assert [(k, n, c) for k, n, *_, c in P.nodes_of("a.cs", cs)] == [("import", "System.Text", 1), ("class", "A", 1), ("function", "Go", 2)]
+    rb = "# def no\nclass A\n  def f\n    x = { a: 1 }\n    y if x\n  end\nend\n"
+    assert [(k, n, b) for k, n, _, b, *_ in P.nodes_of("a.rb", rb)] == [("class", "A", 2), ("function", "f", 7)]
