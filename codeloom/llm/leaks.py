@@ -334,6 +334,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array(spans[:, c], pa.int64()) for c in range(1, 5))], ["doc_id", "copy", "item_id", "at", "length", "changed"])
 
         got = words.mapInArrow(search, "doc_id bigint, copy bigint, item_id bigint, at bigint, length bigint, changed bigint")
+        if blocks > 1:  # one block after the other, so that one index is held at a time
+            got = cut(got)
+            index.unpersist()
         out = got if out is None else out.unionByName(got)
 
     def together(t: pa.Table) -> pa.Table:
