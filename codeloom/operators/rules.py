@@ -245,6 +245,8 @@ def docs(texts: DataFrame, key: str = "path") -> DataFrame:
 
 
 def flag_references(flags: DataFrame, texts: DataFrame, key: str = "path") -> DataFrame:
-    """flag, texts, refs: in how many texts each name stands as a word, and how often: words meet names in an equi-join."""
+    """flag, texts, refs: in how many texts each name stands as a word, and how often: words are counted, map-side first, and
+    meet names in an equi-join when they are a row each."""
     words = texts.where(F.col("content").isNotNull()).select(key, F.explode(F.split("content", "[^A-Za-z0-9_]+")).alias("flag")).groupBy("flag", key).agg(F.count("*").alias("n"))
-    return flags.select("flag").distinct().join(words, "flag", "left").groupBy("flag").agg(F.count(key).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("refs"))
+    counts = words.groupBy("flag").agg(F.count(key).alias("texts"), F.sum("n").alias("refs"))
+    return flags.select("flag").distinct().join(counts, "flag", "left").select("flag", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("texts", "refs")))

@@ -169,3 +169,9 @@ def test_declarations_by_lexing():
     assert [(k, n, c) for k, n, *_, c in P.nodes_of("a.cs", cs)] == [("import", "System.Text", 1), ("class", "A", 1), ("function", "Go", 2)]
     rb = "# def no\nclass A\n  def f\n    x = { a: 1 }\n    y if x\n  end\nend\n"
     assert [(k, n, b) for k, n, _, b, *_ in P.nodes_of("a.rb", rb)] == [("class", "A", 2), ("function", "f", 7)]
+
+
+def test_of_several_texts_of_a_path_the_greatest_is_kept(spark, rows, tmp_path):
+    pairs = [("a", None), ("a", "new flag"), ("b", "x"), ("b", "y flag"), ("b", "y flag"), ("c", None), ("c", None), (None, "flag")]
+    spark.createDataFrame(pairs, "path string, content string").coalesce(1).write.parquet(f"{tmp_path}/code_inputs.parquet")
+    assert rows(texts_once(spark, str(tmp_path))) == [("a", "new flag"), ("b", "y flag"), ("c", None)]
