@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, dirname, extension, fold, module_of
 from ..functions.scalars import language_of
 from ..operators import rules as R
-from ..sources.tables import table, texts_once
+from ..sources.tables import current_files, table, texts_once
 from .registry import core
-from .reports import cur
 
 
 def texts(spark, d):
@@ -142,7 +141,9 @@ def incremental_changes(spark, d):
 
 @core.add("file_status", "with c as (select id, relative_path, project_id from (select *, row_number() over (partition by id order by last_scanned desc nulls last, hash desc nulls last, size_bytes desc nulls last) rn from files) where rn = 1) select c.id, c.relative_path, (select count(distinct i.id) from imports i where i.file_id = c.id) imports, (select count(distinct f.id) from function_defs f where f.file_id = c.id) functions, (select max(complexity) from function_defs f where f.file_id = c.id) worst from c where c.project_id = 3")
 def file_status(spark, d):
-    c = cur(spark, d, "relative_path")
+    files = table(spark, d, "files")
+    unnamed = current_files(files.where("id is null").withColumn("id", F.lit(0)), "relative_path").withColumn("id", F.lit(None).cast("bigint"))  # files without an id are one
+    c = current_files(files, "relative_path").unionByName(unnamed)
     i = table(spark, d, "imports").groupBy(F.col("file_id").alias("id")).agg(F.count_distinct("id").alias("imports"))
     f = table(spark, d, "function_defs").groupBy(F.col("file_id").alias("id")).agg(F.count_distinct("id").alias("functions"), F.max("complexity").alias("worst"))
     return c.join(i, "id", "left").join(f, "id", "left").select("id", "relative_path", F.coalesce("imports", F.lit(0)).alias("imports"), F.coalesce("functions", F.lit(0)).alias("functions"), "worst")

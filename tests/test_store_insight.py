@@ -175,3 +175,13 @@ def test_of_several_texts_of_a_path_the_greatest_is_kept(spark, rows, tmp_path):
     pairs = [("a", None), ("a", "new flag"), ("b", "x"), ("b", "y flag"), ("b", "y flag"), ("c", None), ("c", None), (None, "flag")]
     spark.createDataFrame(pairs, "path string, content string").coalesce(1).write.parquet(f"{tmp_path}/code_inputs.parquet")
     assert rows(texts_once(spark, str(tmp_path))) == [("a", "new flag"), ("b", "y flag"), ("c", None)]
+
+
+def test_status_of_files_without_an_id(spark, rows, tmp_path):
+    from codeloom.plans.texts import file_status
+
+    files = [(None, "old.ts", "2024-01-01", "h", 1), (None, "new.ts", "2024-02-01", "h", 1), (0, "zero.ts", None, "h", 1), (0, "late.ts", "2024-01-01", "g", 1)]
+    spark.createDataFrame(files, "id bigint, relative_path string, at string, hash string, size_bytes bigint").withColumn("last_scanned", F.col("at").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(1, 0), (1, 0), (2, None)], "id bigint, file_id bigint").write.parquet(f"{tmp_path}/imports.parquet")
+    spark.createDataFrame([(1, 0, 7), (2, None, 9)], "id bigint, file_id bigint, complexity int").write.parquet(f"{tmp_path}/function_defs.parquet")
+    assert rows(file_status(spark, str(tmp_path))) == [(0, "late.ts", 1, 1, 7), (None, "new.ts", 0, 0, None)]
